@@ -7,7 +7,8 @@ and once more with probability r - floor(r).  The cube method moves these
 fractional probabilities through the null space of two balancing constraints
 (words and documents of the block) until at most two documents of a block are
 undecided (flight).  The undecided of all blocks meet in blocks again, round by
-round, so the last landing decides about two documents of a source at random.
+round; a source's last block keeps ten documents back, and the landing picks,
+of all samples of those still undecided, one nearest to the balance.
 
 Blocks are hash-dealt within a source, so a hot source is many blocks and no
 task holds more than a block.  The seed and the document's key decide every
@@ -33,6 +34,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 BLOCK = 4096
+LANDING = 10
 _EPS = 1e-9
 
 
@@ -88,25 +90,37 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
-def landing(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decide the last few units one by one, passing on what each rounding gains or loses."""
+def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The small landing problem: of all samples of the last few undecided units,
+    one whose words, and then whose count, come nearest to what is expected."""
     p = p.astype(float).copy()
     left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-    carry = 0.0
-    for i in left:
-        q = min(1.0, max(0.0, p[i] + carry))
-        x = float(rng.random() < q)
-        carry += p[i] - x
-        p[i] = x
+    if len(left):
+        samples = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
+        words, count = size[left].astype(float), p[left].sum()
+        cost = np.abs(samples @ words - p[left] @ words) / max(1.0, words.mean()) + 0.1 * np.abs(samples.sum(1) - count)
+        best = np.flatnonzero(cost <= cost.min() + 1e-12)
+        p[left] = samples[rng.choice(best)]
     return np.where(p >= 0.5, 1.0, 0.0)
 
 
+def decide(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
+    """Flight over a block; the last block of a source keeps a few units back for its landing."""
+    if not last:
+        return flight(p, size, rng)
+    held = rng.permutation(np.flatnonzero((p > _EPS) & (p < 1 - _EPS)))[:LANDING]
+    first = p.astype(float).copy()
+    first[held] = 0.0
+    first = flight(first, size, rng)
+    first[held] = p[held]
+    return landing(first, size, rng)
+
+
 def _fly(last: bool, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_key", "size", "_tie"], kind="stable")
         rng = np.random.default_rng([seed, int(pdf["_block"].iloc[0]) & 0xFFFFFFFF, int(pdf["_round"].iloc[0])])
-        p = flight(pdf["_p"].to_numpy(), pdf["size"].to_numpy(), rng)
-        pdf["_p"] = landing(p, rng) if last else p
+        pdf["_p"] = decide(pdf["_p"].to_numpy(), pdf["size"].to_numpy(), rng, last)
         return pdf
 
     return run
