@@ -32,8 +32,30 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _held_out(modulus: int, rest: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~_held_out(5, 0))
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~_held_out(4, 2))
+    return quality.score(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
