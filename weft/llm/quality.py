@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.stages import stage
-from weft.llm.tokens import Words
+from weft.llm.tokens import Words, slices
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most
 ROUNDS, DEPTH, RATE, BINS, LAMBDA, MIN_CHILD = 80, 4, 0.15, 48, 1.0, 8.0
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit
     sample = labelled_sample(docs, labels, label, allowed, limit, key, text)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             x = statistics(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["k", "y", "x"])
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text"
     """(key, score) of every row of ``docs``."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(statistics(b.column(1))))], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -166,3 +166,16 @@ def minimizers(value: np.ndarray, w: int) -> np.ndarray:
     pre_at, suf_at = pre_at.ravel(), suf_at.ravel()
     left, right = suf_at[: n - w + 1], pre_at[w - 1 : n]
     return np.where(order[right] < order[left], right, left)
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
+    """Parts of a batch with about ``limit`` bytes of text each (one row at least), so that
+    working memory does not depend on how many long texts share a batch."""
+    if not batch.num_rows:
+        return
+    _, offsets = buffers(batch.column(column))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi

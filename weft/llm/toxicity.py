@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.quality import labelled_sample
 from weft.llm.stages import stage
-from weft.llm.tokens import Words
+from weft.llm.tokens import Words, slices
 
 SAMPLE = 20_000
 LANDMARKS = 256
@@ -147,36 +147,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.offset, -35, 35)))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by Newton steps on the active set (classes weigh equally)."""
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 3000.0, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear SVM by Newton steps on the active set; weights sum to 1."""
     n, m = x.shape
     xb = np.hstack([x, np.ones((n, 1))])
     sign = np.where(y > 0, 1.0, -1.0)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * cost * 1000
+    weight = weight * cost
     w = np.zeros(m + 1)
     ridge = np.full(m + 1, 1.0)
     ridge[-1] = 1e-3
-    for _ in range(steps):
+    for turn in range(steps):
         active = sign * (xb @ w) < 1
         a = xb[active] * weight[active][:, None]
         new = np.linalg.solve(a.T @ xb[active] + np.diag(ridge), a.T @ sign[active])
         if np.allclose(new, w, atol=1e-6):
             break
-        w = 0.5 * w + 0.5 * new if _ > 10 else new
+        w = 0.5 * w + 0.5 * new if turn > 10 else new
     return w[:-1], float(w[-1])
 
 
-def nystrom_svm(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
-    """Folded weights over 3-character codes, and the bias."""
-    rng = np.random.default_rng(11)
-    pick = lambda words, n: [words[i] for i in sorted(rng.permutation(len(words))[:n])]
-    landmarks = pick(positive, LANDMARKS * 3 // 4) + pick(negative, LANDMARKS // 4)
+def pick_landmarks(words: list[str], weight: np.ndarray, n: int) -> list[str]:
+    """Pivoted incomplete Cholesky: the word that the chosen ones explain least, weighted, comes next."""
+    pool = np.argsort(-weight, kind="stable")[: 6 * n]
+    names = [words[i] for i in pool]
+    k = kernel(names, names)
+    left, chosen = np.diag(k).copy(), []
+    rows = np.zeros((n, len(names)))
+    for turn in range(min(n, len(names))):
+        at = int(np.argmax(left * weight[pool]))
+        if left[at] < 1e-4:
+            break
+        chosen.append(names[at])
+        rows[turn] = (k[at] - rows[:turn, at] @ rows[:turn]) / np.sqrt(left[at])
+        left = np.maximum(left - rows[turn] ** 2, 0)
+    return chosen
+
+
+def nystrom_svm(positive: list[str], seen: np.ndarray, negative: list[str]) -> tuple[np.ndarray, float]:
+    """Folded weights over 3-character codes, and the bias.  ``seen``: toxic texts that hold each positive word."""
+    strength = np.sqrt(seen.astype(float))
+    landmarks = pick_landmarks(positive, strength, LANDMARKS * 3 // 4) + pick_landmarks(negative, np.ones(len(negative)), LANDMARKS // 4)
     k = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     keep = values > 1e-4 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     x = kernel(positive + negative, landmarks) @ root
-    w, bias = fit_svm(x, np.r_[np.ones(len(positive)), np.zeros(len(negative))])
+    share = np.r_[0.5 * strength / strength.sum(), np.full(len(negative), 0.5 / max(1, len(negative)))]
+    w, bias = fit_svm(x, np.r_[np.ones(len(positive)), np.zeros(len(negative))], share * 2)
     gamma = root @ w  # weight of each landmark's kernel value
     table = np.zeros(CODES**3)
     r, c, v = word_features(landmarks)
@@ -203,15 +220,13 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     word = re.compile(r"\w+")
     for b in batches:
-        for lo in range(0, b.num_rows, 200):
-            part = b.slice(lo, 200)
-            stem, kind, toxic = [], [], []
+        for part in slices(b, 0):
+            stem, toxic = [], []
             for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words = {w for w in word.findall((text or "").lower()) if 3 <= len(w) <= 40}
                 grams = {w[:n] + "*" for w in words for n in STEMS if len(w) > n} | words
                 stem += grams
                 toxic += [int(y)] * len(grams)
-            del kind
             yield pa.RecordBatch.from_arrays([pa.array(stem, pa.string()), pa.array(toxic, pa.int32())], names=["stem", "toxic"])
 
 
@@ -231,20 +246,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit
     # a stem is evidence only if its longer forms, or it alone, carry it: take words of the sample under it
     words = seen.where(~F.col("stem").endswith("*"))
     under = words.where(F.substring("stem", 1, STEMS[0]).isin(sorted({r[: STEMS[0]] for r in roots} | {w[: STEMS[0]] for w in whole}) or [""])).where("t > 0.5 * n").orderBy(F.desc("t"), "stem").limit(4 * EXAMPLES).toPandas()
-    positive = [w for w in under["stem"] if w in whole or any(w[:m] in roots for m in STEMS)][:EXAMPLES]
-    if not positive:  # too few texts for evidence: the words that lean most towards toxic ones
-        positive = words.withColumn("z", z).orderBy(F.desc("z"), "stem").limit(50).toPandas()["stem"].tolist()
+    found = under[[w in whole or any(w[:m] in roots for m in STEMS) for w in under["stem"]]].head(EXAMPLES)
+    if not len(found):  # too few texts for evidence: the words that lean most towards toxic ones
+        found = words.withColumn("z", z).orderBy(F.desc("z"), "stem").limit(50).toPandas()
+    positive, seen_in = found["stem"].tolist(), found["t"].to_numpy()
     taken = set(positive)
     clean = words.where("t <= 0.5 * n").orderBy(F.xxhash64("stem"), "stem").limit(EXAMPLES).toPandas()["stem"].tolist()
     common = words.where("t <= 0.5 * n").orderBy(F.desc("n"), "stem").limit(EXAMPLES // 2).toPandas()["stem"].tolist()
     negative = [w for w in dict.fromkeys(common + clean) if w not in taken]
     model = margins = None
     for last in (False, False, True):
-        table, bias = nystrom_svm(positive, negative)
+        table, bias = nystrom_svm(positive, seen_in, negative)
         model = Model(table, bias, 1.0, 0.0)
 
         def best(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (part for whole in batches for part in slices(whole, 0)):
                 top, w, where = model.text_margins(b.column(0))
                 which = [w.word_bytes(i).decode("utf-8", "replace") if i >= 0 else "" for i in where]
                 yield pa.RecordBatch.from_arrays([pa.array(top), b.column(1), pa.array(which, pa.string())], names=["m", "y", "w"])
@@ -262,7 +278,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, score) of every row of ``docs``."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1)), pa.float64())], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
