@@ -83,23 +83,21 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """(words, landmarks) matrix of kernel values."""
-    table = np.zeros((len(landmarks), CODES**3), np.float32)
     r, c, v = word_features(landmarks)
-    np.add.at(table, (r, c), v)
-    used = np.unique(c)
-    place = np.full(CODES**3, -1)
+    used, at = np.unique(c, return_inverse=True)  # only codes that landmarks have
+    table = np.zeros((len(used), len(landmarks)), np.float32)
+    np.add.at(table, (at, r), v)
+    place = np.full(CODES**3, -1, np.int32)
     place[used] = np.arange(len(used))
-    table = table[:, used].T.copy()
-    out = np.zeros((len(words), len(landmarks)))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     r, c, v = word_features(words)
     keep = place[c] >= 0
-    r, c, v = r[keep], place[c[keep]], v[keep]
-    for lo in range(0, len(r), 50_000):
-        part = slice(lo, lo + 50_000)
-        first = np.flatnonzero(np.r_[True, np.diff(r[part]) != 0]) if len(r[part]) else np.zeros(0, int)
-        # rows of a word are scattered over gap patterns of that word, and contiguous by word
+    r, c, v = r[keep], place[c[keep]], v[keep].astype(np.float32)
+    for lo in range(0, len(r), 4096):
+        part = slice(lo, lo + 4096)
+        first = np.flatnonzero(np.r_[True, np.diff(r[part]) != 0])  # a word's features stand together
         out[r[part][first]] += np.add.reduceat(table[c[part]] * v[part][:, None], first, axis=0)
-    return out
+    return out.astype(float)
 
 
 class Model:
