@@ -16,6 +16,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.phrases import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.topk import top_k
 
@@ -62,6 +68,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm import quality
 
@@ -73,10 +85,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_phrase_dedup": op3_phrase_dedup,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op8_licenses": op8_licenses,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
