@@ -9,9 +9,10 @@ routing vector, and the smallest id below.
 
 A node can hold no score above <q, c> + |q| * radius, and, before <q, c> is
 computed, none above <q, parent> + |q| * (distance to parent + radius); both
-follow from the triangle inequality.  Nodes are visited in order of their bound
-until it falls below the k-th score found; at a tie, a node is left out if its
-smallest id is larger than the k-th id.  Queries first search a page of their
+follow from the triangle inequality.  Nodes are visited in order of their bound,
+by blocks of queries, and only for queries whose k-th score found so far is not
+above it; at a tie, a node of equal vectors is left out if its smallest id is
+larger than the k-th id.  Queries first search a page of their
 nearest pivot, and take the k-th score found there to all other pages.
 
 Queries travel in groups of ``QUERY_GROUP``, pages in trees of ``PAGE_ROWS``; a
@@ -135,55 +136,68 @@ class MTree:
 
     _filled = 0  # rows put into leaves so far
 
-    def search(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf, floor_id: float = np.inf) -> tuple[list[tuple[int, int]], int]:
-        """Best (score, id) pairs for q, at most k, none of id ``own``; and the number of inner products computed.
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, floor_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(scores, ids, inner products computed): k columns a query, -inf where there are fewer.
 
-        ``floor``/``floor_id``: a k-th result known already.
+        A block of queries goes down the tree together: the node whose bound is
+        highest for any query comes first, and only the queries whose own bound
+        still reaches their k-th score take part in it.  ``floor``/``floor_id``: a
+        k-th result each query knows already; ``own``: an id it may not find.
         """
-        norm = float(np.sqrt(q @ q)) * (1 + 1e-12)
-        best: list[tuple[float, int]] = []  # heap of (score, -id): the worst on top
-        computed = 1
-        centre, radius, least = self.nodes[self.root][:3]
-        dot = float(centre @ q)
-        heap = [(-(dot + norm * radius), self.root, dot)]
-        worst, worst_id = floor, floor_id
+        m = len(q)
+        norm = np.sqrt((q * q).sum(1)) * (1 + 1e-12)
+        best, ids = np.full((m, k), -np.inf), np.full((m, k), np.iinfo(np.int64).max)
+        worst, worst_id = floor.astype(float).copy(), floor_id.astype(float).copy()
+        computed, turn = m, 0
+        reach = lambda bound: bound + 1e-6 * (1 + np.abs(bound))  # noqa: E731  what rounding may have taken
+        dots = q @ self.nodes[self.root][0]
+        bound = dots + norm * self.nodes[self.root][1]
+        heap = [(-float(bound.max(initial=-np.inf)), 0, self.root, np.arange(m), dots)]
         while heap:
-            bound, node, dot = heapq.heappop(heap)
-            slack = 1e-6 * (1 + abs(bound))
-            if -bound + slack < worst:
-                break
-            _, _, least, kids, lo, hi = self.nodes[node]
-            if least > worst_id and -bound == worst:  # nothing here scores higher, and ties lose
+            _, _, node, act, dots = heapq.heappop(heap)
+            _, radius, least, kids, lo, hi = self.nodes[node]
+            live = reach(dots + norm[act] * radius) >= worst[act]
+            if radius == 0:  # nothing here scores higher than its centre, and ties lose to smaller ids
+                live &= ~((dots == worst[act]) & (least > worst_id[act]))
+            act, dots = act[live], dots[live]
+            if not len(act):
                 continue
             if kids is None:
-                near = dot + norm * self.to_parent[lo:hi]
-                ok = np.flatnonzero(near + 1e-6 * (1 + np.abs(near)) >= worst)
-                if not len(ok):
+                near = reach(dots[:, None] + norm[act][:, None] * self.to_parent[None, lo:hi]) >= worst[act][:, None]
+                cols = np.flatnonzero(near.any(0))
+                if not len(cols):
                     continue
-                computed += len(ok)
-                scores = self.points[lo:hi][ok] @ q
-                for s, i in zip(scores.tolist(), self.ids[lo:hi][ok].tolist()):
-                    if i == own or s < worst or (s == worst and i >= worst_id):
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    else:
-                        heapq.heappushpop(best, (s, -i))
-                    if len(best) == k and (best[0][0] > worst or (best[0][0] == worst and -best[0][1] < worst_id)):
-                        worst, worst_id = best[0][0], -best[0][1]
+                computed += int(near.sum())
+                score = np.where(near[:, cols], q[act] @ self.points[lo:hi][cols].T, -np.inf)
+                found = self.ids[lo:hi][cols]
+                score[found[None, :] == own[act][:, None]] = -np.inf
+                some = np.flatnonzero((score >= worst[act][:, None]).any(1) & np.isfinite(score).any(1))
+                if not len(some):
+                    continue
+                rows = act[some]
+                all_scores = np.hstack([best[rows], score[some]])
+                all_ids = np.hstack([ids[rows], np.where(np.isfinite(score[some]), found[None, :], np.iinfo(np.int64).max)])
+                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+                best[rows], ids[rows] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
+                last, last_id = best[rows, k - 1], ids[rows, k - 1].astype(float)
+                higher = (last > worst[rows]) | ((last == worst[rows]) & (last_id < worst_id[rows]))
+                worst[rows[higher]], worst_id[rows[higher]] = last[higher], last_id[higher]
             else:
-                which, centres, to_parent, radii, mins = kids
-                near = dot + norm * (to_parent + radii)
-                ok = np.flatnonzero(near + 1e-6 * (1 + np.abs(near)) >= worst)
-                if not len(ok):
+                which, centres, to_parent, radii, _ = kids
+                near = reach(dots[:, None] + norm[act][:, None] * (to_parent + radii)[None, :]) >= worst[act][:, None]
+                cols = np.flatnonzero(near.any(0))
+                if not len(cols):
                     continue
-                computed += len(ok)
-                dots = centres[ok] @ q
-                bounds = dots + norm * radii[ok]
-                keep = (bounds + 1e-6 * (1 + np.abs(bounds)) >= worst) & ~((radii[ok] == 0) & (dots == worst) & (mins[ok] > worst_id))
-                for b, n, d in zip(bounds[keep].tolist(), which[ok][keep].tolist(), dots[keep].tolist()):
-                    heapq.heappush(heap, (-b, n, d))
-        return sorted(((int(s), -i) for s, i in best), key=lambda x: (-x[0], x[1])), computed
+                computed += int(near.sum())
+                to_child = q[act] @ centres[cols].T
+                for j, c in enumerate(cols.tolist()):
+                    mine = np.flatnonzero(near[:, c])
+                    turn += 1
+                    high = float((to_child[mine, j] + norm[act[mine]] * radii[c]).max())
+                    heapq.heappush(heap, (-high, turn, int(which[c]), act[mine], to_child[mine, j]))
+        lost = (best < floor[:, None]) | ((best == floor[:, None]) & (ids >= floor_id[:, None]))
+        best[lost] = -np.inf
+        return best, ids, computed
 
 
 def _assign(pivots: np.ndarray):
@@ -204,14 +218,14 @@ def _build_page(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _search(k: int):
     def run(pages: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
         if len(pages) and len(queries):
             tree = MTree.load(pages["tree"].iloc[0])
             q = matrix(queries["v"].tolist(), tree.points.shape[1])
-            for i, (own, floor, floor_id) in enumerate(zip(queries["id"], queries["floor"], queries["floor_id"])):
-                found, _ = tree.search(q[i], int(own), k, float(floor), float(floor_id))
-                out += [(int(own), s, n) for s, n in found]
-        return pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
+            own = queries["id"].to_numpy()
+            best, ids, _ = tree.search(q, own, k, queries["floor"].to_numpy(), queries["floor_id"].to_numpy())
+            row, col = np.nonzero(np.isfinite(best))
+            return pd.DataFrame({"query_id": own[row], "score": best[row, col].astype(np.int64), "vec_id": ids[row, col]})
+        return pd.DataFrame({"query_id": [], "score": [], "vec_id": []}, dtype="int64")
 
     return run
 
@@ -224,9 +238,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     spark = vectors.sparkSession
     if not len(sample):
         return spark.createDataFrame([], empty)
-    width = rows.agg(F.max(F.size("v"))).first()[0]
+    width, n = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
     points = matrix(sample["v"].tolist(), width)
-    pivots = points[_spread(points, PIVOTS)]
+    pivots = points[_spread(points, min(PIVOTS, -(-n // PAGE_ROWS)))]
     # a repeated row is a candidate of its own: ids need not be unique in a page
     dealt = stage(rows.select("id", "v").mapInArrow(_assign(pivots), "id long, v array<long>, pivot int"), "topk-assigned")
     counts = {r["pivot"]: r["count"] for r in dealt.groupBy("pivot").count().collect()}  # at most PIVOTS rows
