@@ -15,7 +15,7 @@ one anchor travels as one row.
 3. The reducer says which windows recur; each document's windows are gathered and
    joined to its text.
 
-Documents are told apart by a hash of key and text, so repeated rows and null
+Documents are told apart by key and text (``row_id``), so repeated rows and null
 keys need no special case.
 """
 
@@ -40,7 +40,13 @@ LAST = np.iinfo(np.int64).max
 
 
 def row_id(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
+    """An id of the row: the key, made distinct for repeated keys by 16 bits of the text's hash.
+
+    Null and very large keys are told apart by a 63-bit hash of key and text.
+    """
+    k, body = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    hashed = F.xxhash64(F.coalesce(k, F.lit(0)), body).bitwiseOR(F.lit(-(1 << 63)))
+    return F.when(k.isNull() | (k < 0) | (k >= 1 << 46), hashed).otherwise(k * 65536 + F.pmod(F.xxhash64(body), F.lit(65536)))
 
 
 def order_of(key: str) -> Column:
