@@ -281,3 +281,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(apply, f"`{key}` {kind}, score double")
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, in one pass and with all their columns."""
+    at = docs.columns.index(text)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole, at)):
+            yield b.filter(pa.array(model.score(b.column(at)) < limit))
+
+    return docs.mapInArrow(apply, docs.schema)
