@@ -103,7 +103,25 @@ def _split(bucket: np.ndarray, arrays: tuple[np.ndarray, ...], tag: int) -> tupl
 
 def _gather(blobs: pd.Series, tag: int, n: int) -> list[np.ndarray] | None:
     parts = [p for p in map(pickle.loads, blobs) if p[0] == tag]
-    return [np.concatenate([p[i + 1] for p in parts]) for i in range(n)] if parts else None
+    return [np.concatenate([_unpacked(p[i + 1]) for p in parts]) for i in range(n)] if parts else None
+
+
+def _packed(raw: bytes) -> tuple[int, bytes]:
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(x: tuple[int, bytes] | np.ndarray) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x[1], x[0], codec="zstd", asbytes=True), np.uint8) if isinstance(x, tuple) else x
+
+
+def joined_runs(row: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring windows of a row as one run."""
+    if not len(row):
+        return row, first, n
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (first[1:] != first[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    return row[at], first[at], np.add.reduceat(n, at)
 
 
 def candidates(docs: DataFrame, anchors: Callable, across: bool, buckets: int, name: str) -> DataFrame:
@@ -170,7 +188,7 @@ def candidates(docs: DataFrame, anchors: Callable, across: bool, buckets: int, n
     hits = stage(docs.select("rid", "text").mapInArrow(scan, "b int, blob binary").groupBy("b").applyInPandas(answer, "rid long, start int, n int, key long"), f"{name}-hits")
     hot = hits.where("n = 0").select(F.col("key").alias("_hot")).distinct()
     marked = hits.where("n > 0").join(hot, F.col("key") == F.col("_hot"), "left").select("rid", F.struct("start", "n", "key", F.col("_hot").isNotNull().alias("hot")).alias("run"))
-    return marked.groupBy("rid").agg(F.collect_list("run").alias("runs"))
+    return stage(marked.groupBy("rid").agg(F.collect_list("run").alias("runs")), f"{name}-runs")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -243,7 +261,7 @@ def recurring(docs: DataFrame, found: DataFrame, read: Callable, resolve: Callab
                     w = which[a:z]
                     body = [contents[i] for i in w]
                     bucket_ids.append(int(where[a]))
-                    blobs.append(pickle.dumps((0, key[w], order[w], rid[w], start[w], n[w], flags[a:z], np.array([len(c) for c in body], np.uint32), np.frombuffer(b"".join(body), np.uint8)), protocol=5))
+                    blobs.append(pickle.dumps((0, key[w], order[w], rid[w], start[w], n[w], flags[a:z], np.array([len(c) for c in body], np.uint32), _packed(b"".join(body))), protocol=5))
             if hot:
                 h1, h2, order, rid, window = (np.concatenate(x) for x in zip(*hot))
                 by = np.lexsort((window, rid, order, h2, h1))
@@ -279,7 +297,7 @@ def recurring(docs: DataFrame, found: DataFrame, read: Callable, resolve: Callab
             ends = np.cumsum(length.astype(np.int64))
             raw = body.tobytes()
             content = [raw[e - w : e] for e, w in zip(ends.tolist(), length.tolist())]
-            row, first, windows = resolve(key, content, order, flag, n.astype(np.int64))
+            row, first, windows = joined_runs(*resolve(key, content, order, flag, n.astype(np.int64)))
             out.append((rid[row], start[row].astype(np.int64) + first, windows))
         hot = _gather(pdf["blob"], 2, 6)
         if hot is not None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,10 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first run finds the plans, the second what only they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

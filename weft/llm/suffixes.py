@@ -116,23 +116,12 @@ def _resolve(depth: int):
     return resolve
 
 
-def _joined(row: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring single windows of a row as one run."""
-    if not len(row):
-        return row, first, n
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (first[1:] != first[:-1] + n[:-1])
-    at = np.flatnonzero(new)
-    return row[at], first[at], np.add.reduceat(n, at)
-
-
 def repeated_windows(docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with rid, runs of windows that occur twice or more)."""
     rows = docs.select(F.col(key).alias("key"), row_id(key, text).alias("rid"), order_of(key).alias("ord"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     buckets = buckets_for(docs, text)
     found = candidates(rows, _anchors(depth), False, buckets, "suffixes")
-    plain = _resolve(depth)
-    gone = recurring(rows, found, lambda texts: _Text(texts, depth), lambda *a: _joined(*plain(*a)), False, buckets, "suffixes")
+    gone = recurring(rows, found, lambda texts: _Text(texts, depth), _resolve(depth), False, buckets, "suffixes")
     return rows, stage(gone, "suffixes-gone")
 
 
