@@ -57,13 +57,15 @@ def external_shuffle(docs: DataFrame, shards: int = 16, key: str = "doc_id", tex
     counts = docs.select(shard_of(F.col(key), shards, seed).alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(per_shard)).alias("_sub")).groupBy("shard", "_sub").count()
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     offsets = counts.select("shard", "_sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
+    # Spark's shuffle draws from a generator seeded by the partition's number: the number of partitions is
+    # fixed here, and buckets stand in order, so retries and reruns draw the same permutations
     buckets = (
         scattered.repartition(int(shards * per_shard), "shard", "_sub")
         .groupBy("shard", "_sub")
         .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-        .join(offsets, ["shard", "_sub"])
         .sortWithinPartitions("shard", "_sub")
-        .select("shard", "_from", F.shuffle("_rows", F.lit(seed)).alias("_rows"))
+        .select("shard", "_sub", F.shuffle("_rows", F.lit(seed)).alias("_rows"))
+        .join(offsets, ["shard", "_sub"])
     )
     out = buckets.select("shard", "_from", F.posexplode("_rows").alias("_at", "_row"))
     return out.select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(columns)], "shard", (F.col("_from") + F.col("_at")).alias("slot"))
