@@ -102,35 +102,39 @@ def floor_of(n: Column) -> Column:
     return F.when(n <= WHOLE, F.ceil(n * NUMERATOR / F.lit(float(DENOMINATOR)) - 1e-9)).otherwise(F.lit(SKETCH // 2)).cast("int")
 
 
+def _jumped(parents: DataFrame, name: str) -> DataFrame:
+    """(id, root) of a forest (id, root) whose parents are smaller: pointers double until all are roots."""
+    for turn in range(40):
+        above = parents.select(F.col("id").alias("id2"), F.col("root").alias("root2"))
+        higher = stage(parents.join(above, F.col("root") == F.col("id2"), "left").select("id", F.coalesce("root2", "root").alias("root"), F.col("root2").isNotNull().alias("moved")), f"{name}-{turn}")
+        parents = higher.select("id", "root")
+        if not higher.where("moved").limit(1).count():
+            break
+    return parents
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(id, root) of every id in ``edges`` (a, b): the smallest id of its component.
+    """(id, root) of every id of ``edges`` (a, b) that is not its component's smallest: root is that smallest id.
 
-    Alternating large-star and small-star steps, each a grouped minimum; the
-    edges are cut loose after each turn.
+    Each id hangs itself on its smallest neighbour below it; the forest is
+    flattened; edges between different roots are what the next turn joins.
     """
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    for turn in range(60):
-        # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        wide = both(now)
-        low = wide.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = wide.where("v > u").join(low.withColumnRenamed("u", "u2"), F.col("u") == F.col("u2")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: every smaller neighbour of u, and u, go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "a2"), F.col("a") == F.col("a2")).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
-        new = stage(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct(), f"{name}-{turn}")
-        # done once every id hangs on one root, and no root hangs on anything
-        if not new.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() and not new.select(F.col("b").alias("r")).distinct().join(new, F.col("r") == F.col("a"), "left_semi").limit(1).count():
-            now = new
+    left = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    found = None
+    for turn in range(40):
+        forest = _jumped(left.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")), f"{name}-{turn}")
+        found = forest if found is None else stage(_moved(found, "root", forest).unionByName(forest), f"{name}-{turn}-all")
+        rest = _moved(_moved(left, "a", forest), "b", forest).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        left = stage(rest, f"{name}-{turn}-rest")
+        if not left.limit(1).count():
             break
-        now = new
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    return found
 
 
-def _relabel(comp: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """``comp`` (node, comp) after joining the components that ``edges`` (a, b of comps) link."""
-    roots = components(edges, f"{name}-cc")
-    return stage(comp.join(roots, F.col("comp") == F.col("id"), "left").select("node", F.coalesce("root", "comp").alias("comp")), name)
+def _moved(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by its root, where ``roots`` (id, root) has one."""
+    to = roots.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+    return rows.join(to, F.col(column) == F.col("_id"), "left").select(*[F.coalesce("_root", column).alias(column) if c == column else F.col(c) for c in rows.columns])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -155,7 +159,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     rows = docs.select(row_id(key, text).alias("node"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = stage(rows.mapInArrow(_sets, "node long, key long, n long, f1 long, f2 long, sketch array<long>"), "jaccard-sets")
+    sets = stage(rows.mapInArrow(_sets, "node long, key long, n long, f1 long, f2 long, sketch array<long>"), "jaccard-sets", release=True)
     full = sets.where("n > 0")
     classes = full.groupBy("f1", "f2", "n").agg(F.min("node").alias("first"))
     comp = stage(full.join(classes, ["f1", "f2", "n"]).groupBy("node").agg(F.min("first").alias("comp")), "jaccard-classes")
@@ -181,12 +185,13 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             first_by(lambda x: F.struct(F.floor(F.log2(x["df"])).alias("o"), F.xxhash64(x["token"], F.lit(7)).alias("p"), x["token"].alias("token"))).alias("p3"),
         ),
         "jaccard-index",
+        release=True,
     )
     entries = stage(index.select("node", F.explode("p1").alias("token")), "jaccard-entries")
     # only documents that share an index shingle are ever compared
     met = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
-    entries = stage(entries.join(met, F.col("token") == F.col("t"), "left_semi"), "jaccard-met")
-    texts = stage(rows.select("node", "text").join(entries.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").dropDuplicates(["node"]), "jaccard-texts")
+    entries = stage(entries.join(met, F.col("token") == F.col("t"), "left_semi").join(comp, "node").select("token", "node", "comp"), "jaccard-met")
+    texts = stage(rows.select("node", "text").join(entries.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").dropDuplicates(["node"]), "jaccard-texts", release=True)
     prefixes = index.select("node", "n", "p2", "p3")
 
     def filtered(pairs: DataFrame) -> DataFrame:
@@ -196,9 +201,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         fits = (F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")
         return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b", "ca", "cb")
 
-    rejected = None
+    rejected = roots = None  # roots: (id, root) of components that have been joined to others
     for turn in range(ROUNDS + 1):
-        grouped = entries.join(comp, "node")
+        grouped = entries if roots is None else _moved(entries, "comp", roots)
         each_comp = grouped.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
         spread = each_comp.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
         open_groups = stage(spread.select(F.col("token").alias("t"), ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs"), "all"), f"jaccard-open{turn}")
@@ -219,12 +224,13 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if rejected is not None:
             pairs = pairs.join(rejected, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
         result = stage(_verified(pairs, texts), f"jaccard-verified{turn}")
-        comp = _relabel(comp, result.where("ok").select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"jaccard-comp{turn}")
+        joined = components(result.where("ok").select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"jaccard-components{turn}")
+        roots = joined if roots is None else stage(_moved(roots, "root", joined).unionByName(joined), f"jaccard-roots{turn}")
         no = result.where(~F.col("ok")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         rejected = no if rejected is None else rejected.unionByName(no)
         if last:
             break
-    keyed = sets.select("node", "key", "n").join(comp, "node", "left")
+    keyed = sets.select("node", "key", "n").join(comp if roots is None else _moved(comp, "comp", roots), "node", "left")
     names = keyed.where("comp is not null").groupBy("comp").agg(F.min("key").alias("name")).withColumnRenamed("comp", "c")
     return keyed.join(names, F.col("comp") == F.col("c"), "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"))
 

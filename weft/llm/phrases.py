@@ -139,7 +139,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     gram = max(1, min(GRAM, (window + 1) // 2))
     found = candidates(rows, _anchors(window, gram), True, buckets, "phrases")
     gone = recurring(rows, found, lambda texts: _Text(texts, window), _resolve(window), True, buckets, "phrases")
-    return rows, stage(gone, "phrases-gone")
+    return rows, stage(gone, "phrases-gone", release=True)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -185,10 +185,10 @@ def candidates(docs: DataFrame, anchors: Callable, across: bool, buckets: int, n
         rid, start, n, key = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"rid": rid, "start": start.astype(np.int32), "n": n.astype(np.int32), "key": key.view(np.int64)})
 
-    hits = stage(docs.select("rid", "text").mapInArrow(scan, "b int, blob binary").groupBy("b").applyInPandas(answer, "rid long, start int, n int, key long"), f"{name}-hits")
+    hits = stage(docs.select("rid", "text").mapInArrow(scan, "b int, blob binary").groupBy("b").applyInPandas(answer, "rid long, start int, n int, key long"), f"{name}-hits", release=True)
     hot = hits.where("n = 0").select(F.col("key").alias("_hot")).distinct()
     marked = hits.where("n > 0").join(hot, F.col("key") == F.col("_hot"), "left").select("rid", F.struct("start", "n", "key", F.col("_hot").isNotNull().alias("hot")).alias("run"))
-    return stage(marked.groupBy("rid").agg(F.collect_list("run").alias("runs")), f"{name}-runs")
+    return stage(marked.groupBy("rid").agg(F.collect_list("run").alias("runs")), f"{name}-runs", release=True)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, ...]:

@@ -47,15 +47,19 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again."""
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again.
+
+    ``release``: what was shuffled for it is large, so let its files go now.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     _drop_at_exit(spark, path)
     del df
-    release_shuffles(spark)
+    if release:
+        release_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 

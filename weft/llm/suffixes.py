@@ -122,7 +122,7 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", t
     buckets = buckets_for(docs, text)
     found = candidates(rows, _anchors(depth), False, buckets, "suffixes")
     gone = recurring(rows, found, lambda texts: _Text(texts, depth), _resolve(depth), False, buckets, "suffixes")
-    return rows, stage(gone, "suffixes-gone")
+    return rows, stage(gone, "suffixes-gone", release=True)
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", text: str = "text") -> DataFrame:
