@@ -201,7 +201,15 @@ def test_one_of_each(spark):
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "a long, b long")
     roots = {r["id"]: r["root"] for r in jaccard.components(edges, "chain").collect()}
-    assert roots == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert roots == {**{i: 0 for i in range(1, 41)}, 101: 100}
+    rng = random.Random(1)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    least = {i: i for p in pairs for i in p}
+    for _ in range(60):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r["id"]: r["root"] for r in jaccard.components(spark.createDataFrame(pairs, "a long, b long"), "random").collect()}
+    assert got == {i: m for i, m in least.items() if i != m}
 
 
 # --- 2: decontamination ---
