@@ -36,6 +36,7 @@ from weft.llm.tokens import mix64, powers, slices
 FLUSH = 6 << 20  # bytes of text whose anchors or units a task holds at once
 BUCKET = 8 << 20  # bytes of corpus text a reducer answers for
 HOT = 10_000  # documents that share an anchor
+SMALL = 100_000  # hot anchors (8 bytes each) that may be broadcast
 LAST = np.iinfo(np.int64).max
 
 
@@ -187,6 +188,8 @@ def candidates(docs: DataFrame, anchors: Callable, across: bool, buckets: int, n
 
     hits = stage(docs.select("rid", "text").mapInArrow(scan, "b int, blob binary").groupBy("b").applyInPandas(answer, "rid long, start int, n int, key long"), f"{name}-hits", release=True)
     hot = hits.where("n = 0").select(F.col("key").alias("_hot")).distinct()
+    if hot.count() <= SMALL:  # else the join shuffles, and adaptive execution splits its large partitions
+        hot = F.broadcast(hot)
     marked = hits.where("n > 0").join(hot, F.col("key") == F.col("_hot"), "left").select("rid", F.struct("start", "n", "key", F.col("_hot").isNotNull().alias("hot")).alias("run"))
     return stage(marked.groupBy("rid").agg(F.collect_list("run").alias("runs")), f"{name}-runs", release=True)
 
