@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.repeats import Prefix, row_id
@@ -156,8 +156,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInArrow(compare, "a long, b long, ca long, cb long, ok boolean")
 
 
-def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row."""
+def _joined_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, key, n, comp) of every row; comp is null for empty sets."""
     rows = docs.select(row_id(key, text).alias("node"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = stage(rows.mapInArrow(_sets, "node long, key long, n long, f1 long, f2 long, sketch array<long>"), "jaccard-sets", release=True)
     full = sets.where("n > 0")
@@ -230,17 +230,23 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         rejected = no if rejected is None else rejected.unionByName(no)
         if last:
             break
-    keyed = sets.select("node", "key", "n").join(comp if roots is None else _moved(comp, "comp", roots), "node", "left")
+    return sets.select("node", "key", "n").join(comp if roots is None else _moved(comp, "comp", roots), "node", "left").select("node", "key", "n", "comp")
+
+
+def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row."""
+    keyed = _joined_rows(docs, key, text)
     names = keyed.where("comp is not null").groupBy("comp").agg(F.min("key").alias("name")).withColumnRenamed("comp", "c")
     return keyed.join(names, F.col("comp") == F.col("c"), "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key names their component: one of each group, and all that link with nothing.
+    """One row of each component, that with the smallest key (null keys last), and every row that links with nothing.
 
-    Of rows that repeat such a key, one stays.
+    Rows that repeat key and text count as one.
     """
-    stay = link_components(docs, key, text).where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
-    by = Window.partitionBy(F.coalesce(F.col(key), F.xxhash64(F.col(text)))).orderBy(F.xxhash64(F.col(text)))
-    return kept.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
+    keyed = _joined_rows(docs, key, text)
+    stay = keyed.groupBy(F.coalesce("comp", "node").alias("c")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "node")).alias("m")).select(F.col("m.node").alias("_stay"))
+    # the join deals texts by row id once; dropping repeats needs no other deal
+    kept = docs.withColumn("_node", row_id(key, text)).join(stay, F.col("_node") == F.col("_stay"), "left_semi")
+    return kept.dropDuplicates(["_node"]).select(*docs.columns)
