@@ -193,6 +193,7 @@ def test_jaccard(spark, seed):
 
 def test_one_of_each(spark):
     rows = near_copies(5) + [(None, "some words of a text without a key here"), (900, None), (901, "")]
+    rows += [(None, rows[0][1]), rows[1], rows[1], rows[41]]
     kept = [r["doc_id"] for r in jaccard.one_of_each(documents(spark, rows)).collect()]
     want = {c for k, n, c in brute_components(rows) if k is not None}
     assert sorted(k for k in kept if k is not None) == sorted(want) and kept.count(None) == 1
