@@ -101,6 +101,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
+    "op3_phrase_dedup": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+             g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+             late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first FROM g) WHERE first < doc_id),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM late),
+             kept AS (SELECT a.doc_id, a.p, a.word, gone.p IS NOT NULL AS removed FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) a
+                      LEFT JOIN gone ON a.doc_id = gone.doc_id AND a.p = gone.p),
+             sums AS (SELECT doc_id, count(*) FILTER (removed) AS n, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT removed), '') AS body FROM kept GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM w LEFT JOIN sums ON w.doc_id = sums.doc_id
+    """,
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+             s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS i FROM w)),
+             n AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+             link AS MATERIALIZED (
+                 SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+                 JOIN n p1 ON p.a = p1.doc_id JOIN n p2 ON p.b = p2.doc_id WHERE 100 * shared >= 80 * (p1.size + p2.size - shared)),
+             reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT d.doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, least AS component_id
+        FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON d.doc_id = r.a
+    """,
     "op4_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
