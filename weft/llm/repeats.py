@@ -21,7 +21,7 @@ keys need no special case.
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +34,7 @@ from weft.llm.stages import stage
 from weft.llm.tokens import mix64, powers, slices
 
 FLUSH = 6 << 20  # bytes of text whose anchors or units a task holds at once
-BUCKET = 8 << 20  # bytes of corpus text a reducer answers for
+BUCKET = 4 << 20  # bytes of corpus text a reducer answers for
 HOT = 10_000  # documents that share an anchor
 SMALL = 100_000  # hot anchors (8 bytes each) that may be broadcast
 LAST = np.iinfo(np.int64).max
@@ -94,25 +94,47 @@ def _rows(bucket: list[int], blob: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["b", "blob"])
 
 
-def _split(bucket: np.ndarray, arrays: tuple[np.ndarray, ...], tag: int) -> tuple[list[int], list[bytes]]:
-    """One pickled blob a bucket; rows must be in order of their bucket."""
-    if not len(bucket):
-        return [], []
-    cut = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket))
-    return [int(bucket[a]) for a in cut[:-1]], [pickle.dumps((tag, *(x[a:b] for x in arrays)), protocol=5) for a, b in zip(cut[:-1], cut[1:])]
-
+# Columns of what tasks send each other: packed one after another, so that a blob of one entry is as small as a row.
+_ALONE = (0, "<u8", "<i8", "<u4", "<u2")  # anchor, row, first window, windows
+_KNOWN = (1, "<i8", "<u4", "<u2", "<u8")  # row, first window, windows, anchor: recurs for certain
+_SHARED = (2, "<u8", "<u4")  # anchor, documents of the task that have it
+_UNITS = (3, "<u8", "<i8", "<i8", "<u4", "<u2", "<u1", "<u4")  # anchor, order, row, first window, windows, flag, bytes of content
+_GONE = (4, "<i8", "<u4", "<u2")  # row, first window, windows
+_HASHED = (5, "<u8", "<u8", "<i8", "<i8", "<u4", "<u1")  # two hashes of a window, order, row, window, flag
+_HEAD = "<BI"  # layout, entries
 
-def _gather(blobs: pd.Series, tag: int, n: int) -> list[np.ndarray] | None:
-    parts = [p for p in map(pickle.loads, blobs) if p[0] == tag]
-    return [np.concatenate([_unpacked(p[i + 1]) for p in parts]) for i in range(n)] if parts else None
 
+def _pack(layout: tuple, arrays: tuple[np.ndarray, ...], body: bytes | None = None) -> bytes:
+    packed = struct.pack(_HEAD, layout[0], len(arrays[0])) + b"".join(x.astype(kind, copy=False).tobytes() for x, kind in zip(arrays, layout[1:]))
+    return packed if body is None else packed + struct.pack(_HEAD, 0, len(body)) + pa.compress(body, codec="zstd", asbytes=True)
 
-def _packed(raw: bytes) -> tuple[int, bytes]:
-    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
 
-
-def _unpacked(x: tuple[int, bytes] | np.ndarray) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x[1], x[0], codec="zstd", asbytes=True), np.uint8) if isinstance(x, tuple) else x
+def _split(bucket: np.ndarray, arrays: tuple[np.ndarray, ...], layout: tuple) -> tuple[list[int], list[bytes]]:
+    """One blob a bucket; rows must be in order of their bucket."""
+    if not len(bucket):
+        return [], []
+    cut = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket))
+    return [int(bucket[a]) for a in cut[:-1]], [_pack(layout, tuple(x[a:b] for x in arrays)) for a, b in zip(cut[:-1], cut[1:])]
+
+
+def _gather(blobs: pd.Series, layout: tuple, body: bool = False) -> list[np.ndarray] | None:
+    """The columns of all blobs of a layout, and the contents behind them if there are any."""
+    parts, contents = [], []
+    for blob in blobs:
+        tag, n = struct.unpack_from(_HEAD, blob)
+        if tag != layout[0]:
+            continue
+        at, columns = struct.calcsize(_HEAD), []
+        for kind in layout[1:]:
+            columns.append(np.frombuffer(blob, kind, n, at))
+            at += columns[-1].nbytes
+        parts.append(columns)
+        if body:
+            size = struct.unpack_from(_HEAD, blob, at)[1]
+            contents.append(pa.decompress(bytes(blob[at + struct.calcsize(_HEAD) :]), size, codec="zstd", asbytes=True))
+    if not parts:
+        return None
+    return [np.concatenate(x) for x in zip(*parts)] + ([b"".join(contents)] if body else [])
 
 
 def joined_runs(row: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,20 +175,20 @@ def candidates(docs: DataFrame, anchors: Callable, across: bool, buckets: int, n
             many = (docs_of > 1) if across else (count > 1)
             here = np.repeat(many, count)
             # runs known to recur already: straight on, in spread-out groups; the reducer hears of the anchor once
-            known = _split(buckets + np.zeros(int(here.sum()), np.int64), (rid[here], start[here], n[here], key[here]), 1)
+            known = _split(buckets + np.zeros(int(here.sum()), np.int64), (rid[here], start[here], n[here], key[here]), _KNOWN)
             sent = ~here
-            single = _split(_bucket(key[sent], buckets), (key[sent], rid[sent], start[sent], n[sent]), 0)
-            shared = _split(_bucket(key[first[many]], buckets), (key[first[many]], docs_of[many].astype(np.uint32)), 2)
+            single = _split(_bucket(key[sent], buckets), (key[sent], rid[sent], start[sent], n[sent]), _ALONE)
+            shared = _split(_bucket(key[first[many]], buckets), (key[first[many]], docs_of[many]), _SHARED)
             spread = [buckets + int(mix64(rid[here][:1].view(np.uint64))[0] % np.uint64(buckets))] if known[0] else []
             yield _rows(spread + single[0] + shared[0], known[1] + single[1] + shared[1])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        passed = _gather(pdf["blob"], 1, 4)
+        passed = _gather(pdf["blob"], _KNOWN)
         if passed is not None:
             rid, start, n, key = passed
             out.append((rid, start, n, key))
-        alone, known = _gather(pdf["blob"], 0, 4), _gather(pdf["blob"], 2, 2)
+        alone, known = _gather(pdf["blob"], _ALONE), _gather(pdf["blob"], _SHARED)
         if alone is not None or known is not None:
             key, rid, start, n = alone if alone is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint16))
             also, docs_of = known if known is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
@@ -264,7 +286,7 @@ def recurring(docs: DataFrame, found: DataFrame, read: Callable, resolve: Callab
                     w = which[a:z]
                     body = [contents[i] for i in w]
                     bucket_ids.append(int(where[a]))
-                    blobs.append(pickle.dumps((0, key[w], order[w], rid[w], start[w], n[w], flags[a:z], np.array([len(c) for c in body], np.uint32), _packed(b"".join(body))), protocol=5))
+                    blobs.append(_pack(_UNITS, (key[w], order[w], rid[w], start[w], n[w], flags[a:z], np.array([len(c) for c in body])), b"".join(body)))
             if hot:
                 h1, h2, order, rid, window = (np.concatenate(x) for x in zip(*hot))
                 by = np.lexsort((window, rid, order, h2, h1))
@@ -277,7 +299,7 @@ def recurring(docs: DataFrame, found: DataFrame, read: Callable, resolve: Callab
                 gone.append((rid[later], window[later], np.ones(int(later.sum()), np.uint16)))
                 send = head | ~later
                 flag = np.repeat((size > 1).astype(np.uint8), size)[send] if not first_stays else np.zeros(int(send.sum()), np.uint8)
-                some = _split(_bucket(h1[send], buckets), (h1[send], h2[send], order[send], rid[send], window[send], flag), 2)
+                some = _split(_bucket(h1[send], buckets), (h1[send], h2[send], order[send], rid[send], window[send], flag), _HASHED)
                 bucket_ids += some[0]
                 blobs += some[1]
             if gone:
@@ -285,24 +307,23 @@ def recurring(docs: DataFrame, found: DataFrame, read: Callable, resolve: Callab
                 if len(rid):
                     to = buckets + int(mix64(rid[:1].view(np.uint64))[0] % np.uint64(buckets))
                     bucket_ids.append(to)
-                    blobs.append(pickle.dumps((1, rid, start, n), protocol=5))
+                    blobs.append(_pack(_GONE, (rid, start, n)))
             if blobs:
                 yield _rows(bucket_ids, blobs)
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        passed = _gather(pdf["blob"], 1, 3)
+        passed = _gather(pdf["blob"], _GONE)
         if passed is not None:
             out.append(tuple(x.astype(np.int64) for x in passed))
-        sent = _gather(pdf["blob"], 0, 8)
+        sent = _gather(pdf["blob"], _UNITS, body=True)
         if sent is not None:
-            key, order, rid, start, n, flag, length, body = sent
+            key, order, rid, start, n, flag, length, raw = sent
             ends = np.cumsum(length.astype(np.int64))
-            raw = body.tobytes()
             content = [raw[e - w : e] for e, w in zip(ends.tolist(), length.tolist())]
             row, first, windows = joined_runs(*resolve(key, content, order, flag, n.astype(np.int64)))
             out.append((rid[row], start[row].astype(np.int64) + first, windows))
-        hot = _gather(pdf["blob"], 2, 6)
+        hot = _gather(pdf["blob"], _HASHED)
         if hot is not None:
             h1, h2, order, rid, window, flag = hot
             by = np.lexsort((order, h2, h1))
