@@ -201,6 +201,7 @@ def _joined_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
         fits = (F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")
         return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b", "ca", "cb")
 
+    before = 0
     rejected = roots = None  # roots: (id, root) of components that have been joined to others
     for turn in range(ROUNDS + 1):
         grouped = entries if roots is None else _moved(entries, "comp", roots)
@@ -210,7 +211,9 @@ def _joined_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
         pairs_left, members = open_groups.agg(F.sum("pairs"), F.sum("all")).first()
         if not pairs_left:
             break
-        last = turn == ROUNDS or (turn > 0 and pairs_left <= 4 * members)
+        # a round that no longer takes away a third of the pairs has only documents left that do not link
+        last = turn == ROUNDS or (turn > 0 and (pairs_left <= 4 * members or 3 * pairs_left > 2 * before))
+        before = pairs_left
         mine = grouped.join(open_groups.select("t"), F.col("token") == F.col("t"), "left_semi")
         if last:
             other = mine.select(F.col("token").alias("token2"), F.col("node").alias("b"), F.col("comp").alias("cb"))
