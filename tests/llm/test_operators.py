@@ -276,6 +276,15 @@ def test_leaks_in_chunks(spark, monkeypatch):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("limit", [8 << 20, 1])
+def test_leaky_rows_leave_others_of_their_key(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam.chunks, "__defaults__", (limit,))
+    items = spark.createDataFrame([(0, "alpha beta gamma"), (1, "delta epsilon")], "item_id long, text string")
+    rows = [(None, "has alpha beta gamma"), (None, "clean"), (None, None), (7, "delta epsilon here"), (7, "also clean"), (7, "also clean"), (8, "")]
+    left = decontam.decontaminate(documents(spark, rows), items).collect()
+    assert sort((r["doc_id"], r["text"]) for r in left) == sort([rows[1], rows[2], rows[4], rows[5], rows[6]])
+
+
 # --- 8: licenses ---
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.stages import stage
 from weft.llm.tokens import slices
 
 RATE = 0.08
@@ -182,8 +183,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: s
     return out.groupBy(key, item_key).agg(F.min("distance").alias("distance"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item; rows with a null key are kept or left by their own text as others are."""
-    key = options.get("key", "doc_id")
-    bad = find_leaks(docs, benchmark, **options).select(F.col(key).alias("_leaky")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_leaky")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """The documents that hold no item; each row is kept or left by its own text, whatever its key.
+
+    A chunk of the benchmark is a pass; what is left after it is written before the next one.
+    """
+    at = docs.columns.index(text)
+    out = None
+    for part in chunks(benchmark, item_key, text):
+
+        def clean(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(part, rate)
+            for b in (s for whole in batches for s in slices(whole, at)):
+                yield b.filter(pa.array([not matcher.leaks(normalised(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        before = docs if out is None else stage(out, "decontaminated")
+        out = before.mapInArrow(clean, docs.schema)
+    return docs if out is None else out
