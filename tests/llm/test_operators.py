@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import decontam, jaccard, licenses, mixing, phrases, quality, sharding, suffixes, tokens, topk, toxicity
+from weft.llm import decontam, jaccard, licenses, mixing, phrases, quality, repeats, sharding, suffixes, tokens, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string, target string, key string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -213,6 +213,23 @@ def test_components_of_long_chains(spark):
     assert got == {i: m for i, m in least.items() if i != m}
 
 
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_many_texts_under_one_key(spark, monkeypatch, small):
+    monkeypatch.setattr("weft.llm.repeats.SMALL", small)
+    rows = [(7, f"text number {i} stands alone") for i in range(3000)] + [(None, f"row {i} has no key") for i in range(20)] + [(8, "once"), (-1, "below"), (-1, "zero"), (1 << 60, "large")]
+    docs = documents(spark, rows + rows[:2])
+    ids = repeats.with_row_id(docs, "rid").select("rid", "doc_id", "text").distinct().collect()
+    assert len({r["rid"] for r in ids}) == len(ids) == len(rows)
+    assert small == 0 or {r["rid"] for r in ids} >= {8, 1 << 60}
+    if small:
+        left = jaccard.one_of_each(docs).collect()
+        assert sort((r["doc_id"], r["text"]) for r in left) == sort(rows)
+        parts = [[f"k{i}w{j}" for j in range(20)] for i in range(600)]
+        rows = [(7, " ".join(p)) for p in parts] + [(9, " ".join(p[:15])) for p in parts]
+        got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in phrases.remove_repeats(documents(spark, rows)).collect()]
+        assert sort(got) == sort(brute_phrases(rows))
+
+
 # --- 2: decontamination ---
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.repeats import Prefix, row_id
+from weft.llm.repeats import Prefix, with_row_id
 from weft.llm.stages import stage
 from weft.llm.tokens import Words, grams, mix64, slices, starts_of_grams
 
@@ -157,8 +157,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _joined_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, key, n, comp) of every row; comp is null for empty sets."""
-    rows = docs.select(row_id(key, text).alias("node"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(node, key, n, comp) of every row of ``docs`` with ``_node``; comp is null for empty sets."""
+    rows = docs.select(F.col("_node").alias("node"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = stage(rows.mapInArrow(_sets, "node long, key long, n long, f1 long, f2 long, sketch array<long>"), "jaccard-sets", release=True)
     full = sets.where("n > 0")
     classes = full.groupBy("f1", "f2", "n").agg(F.min("node").alias("first"))
@@ -238,7 +238,7 @@ def _joined_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
-    keyed = _joined_rows(docs, key, text)
+    keyed = _joined_rows(with_row_id(docs, "_node", key, text), key, text)
     names = keyed.where("comp is not null").groupBy("comp").agg(F.min("key").alias("name")).withColumnRenamed("comp", "c")
     return keyed.join(names, F.col("comp") == F.col("c"), "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"))
 
@@ -248,8 +248,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Rows that repeat key and text count as one.
     """
-    keyed = _joined_rows(docs, key, text)
+    rows = with_row_id(docs, "_node", key, text)
+    keyed = _joined_rows(rows, key, text)
     stay = keyed.groupBy(F.coalesce("comp", "node").alias("c")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "node")).alias("m")).select(F.col("m.node").alias("_stay"))
     # the join deals texts by row id once; dropping repeats needs no other deal
-    kept = docs.withColumn("_node", row_id(key, text)).join(stay, F.col("_node") == F.col("_stay"), "left_semi")
+    kept = rows.join(stay, F.col("_node") == F.col("_stay"), "left_semi")
     return kept.dropDuplicates(["_node"]).select(*docs.columns)

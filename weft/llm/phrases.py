@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.repeats import LAST, Prefix, buckets_for, candidates, covered, each, order_of, recurring, row_id, runs, spans_of, stage, with_windows
+from weft.llm.repeats import LAST, Prefix, buckets_for, candidates, covered, each, order_of, recurring, runs, spans_of, stage, with_row_id, with_windows
 from weft.llm.tokens import Words, grams, minimizers, mix64, slices, starts_of_grams
 
 WINDOW, GRAM = 13, 6
@@ -134,7 +134,7 @@ def _resolve(window: int):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with rid, runs of windows that an earlier document has)."""
-    rows = docs.select(F.col(key).alias("key"), row_id(key, text).alias("rid"), order_of(key).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = with_row_id(docs, "_rid", key, text).select(F.col(key).alias("key"), F.col("_rid").alias("rid"), order_of(key).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = buckets_for(docs, text)
     gram = max(1, min(GRAM, (window + 1) // 2))
     found = candidates(rows, _anchors(window, gram), True, buckets, "phrases")

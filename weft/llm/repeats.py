@@ -15,7 +15,7 @@ one anchor travels as one row.
 3. The reducer says which windows recur; each document's windows are gathered and
    joined to its text.
 
-Documents are told apart by key and text (``row_id``), so repeated rows and null
+Documents are told apart by key and text (``with_row_id``), so repeated rows and null
 keys need no special case.
 """
 
@@ -40,14 +40,24 @@ SMALL = 100_000  # hot anchors (8 bytes each) that may be broadcast
 LAST = np.iinfo(np.int64).max
 
 
-def row_id(key: str, text: str) -> Column:
-    """An id of the row: the key, made distinct for repeated keys by 16 bits of the text's hash.
+def with_row_id(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with an id of each row as ``name``: the key, where it is not negative and no other row has it.
 
-    Null and very large keys are told apart by a 63-bit hash of key and text.
+    Rows of null, negative and repeated keys are told apart by a 63-bit hash of key and
+    whole text.  Up to ``SMALL`` repeated keys are looked up by broadcast; if there are
+    more, all rows are hashed, so texts are not dealt by a hot key.
     """
     k, body = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
-    hashed = F.xxhash64(F.coalesce(k, F.lit(0)), body).bitwiseOR(F.lit(-(1 << 63)))
-    return F.when(k.isNull() | (k < 0) | (k >= 1 << 46), hashed).otherwise(k * 65536 + F.pmod(F.xxhash64(body), F.lit(65536)))
+    hashed = F.xxhash64(k.isNull(), F.coalesce(k, F.lit(0)), body).bitwiseOR(F.lit(-(1 << 63)))
+    keys = docs.select(k.alias("_again")).where("_again >= 0").groupBy("_again").count().where("count > 1").select("_again").limit(SMALL + 1)
+    again = stage(keys, "repeated-keys")
+    many = again.count()
+    if many > SMALL:
+        return docs.withColumn(name, hashed)
+    if not many:
+        return docs.withColumn(name, F.when(k >= 0, k).otherwise(hashed))
+    marked = docs.join(F.broadcast(again), k == F.col("_again"), "left")
+    return marked.withColumn(name, F.when((k >= 0) & F.col("_again").isNull(), k).otherwise(hashed)).drop("_again")
 
 
 def order_of(key: str) -> Column:

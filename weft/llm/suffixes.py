@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.repeats import Prefix, buckets_for, candidates, covered, each, order_of, recurring, row_id, runs, spans_of, stage, with_windows
+from weft.llm.repeats import Prefix, buckets_for, candidates, covered, each, order_of, recurring, runs, spans_of, stage, with_row_id, with_windows
 from weft.llm.tokens import _byte_table, buffers, grams, minimizers, slices
 
 DEPTH = 400
@@ -118,7 +118,7 @@ def _resolve(depth: int):
 
 def repeated_windows(docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with rid, runs of windows that occur twice or more)."""
-    rows = docs.select(F.col(key).alias("key"), row_id(key, text).alias("rid"), order_of(key).alias("ord"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    rows = with_row_id(docs, "_rid", key, text).select(F.col(key).alias("key"), F.col("_rid").alias("rid"), order_of(key).alias("ord"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     buckets = buckets_for(docs, text)
     found = candidates(rows, _anchors(depth), False, buckets, "suffixes")
     gone = recurring(rows, found, lambda texts: _Text(texts, depth), _resolve(depth), False, buckets, "suffixes")
