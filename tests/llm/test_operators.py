@@ -454,6 +454,24 @@ def test_mix(spark, block):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_take_decides_rows_that_share_a_key_one_by_one(spark):
+    rng = random.Random(12)
+    sizes = {"s0": 300, "s1": 900, "s2": 600}
+    rows = [(None if i % 2 else 7, prose(rng, rng.randrange(1, 60)), s) for s, n in sizes.items() for i in range(n)]
+    rows += [(None, "the same row", "s1")] * 40 + [(None, None, "s1"), (7, "", None)]
+    docs = documents(spark, rows)
+    words = lambda text: len((text or "").split())
+    held = {s: sum(words(t) for _, t, x in rows if x == s) for s in sizes}
+    want = water_filled({**held, None: 0})
+    got = collections.Counter(tuple(r)[1::2][:2] for r in mixing.take(docs).select("doc_id", "text", "lang", "source").collect())
+    most = collections.Counter((t, s) for _, t, s in rows)
+    assert all(n <= 3 * most[row] for row, n in got.items())
+    for source in sizes:
+        assert abs(sum(n * words(t) for (t, s), n in got.items() if s == source) - want[source]) <= 0.01 * want[source] + 60, source
+    again = mixing.take(docs.repartition(5)).select("doc_id", "text", "lang", "source").collect()
+    assert got == collections.Counter(tuple(r)[1::2][:2] for r in again)
+
+
 # --- 1 and 10: classifiers ---
 
 INSULTS = ["grobnik", "plonkard", "wastrel"]

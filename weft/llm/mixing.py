@@ -118,7 +118,7 @@ def decide(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: bool
 
 def _fly(last: bool, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_key", "size", "_tie"], kind="stable")
+        pdf = pdf.sort_values(["_key", "size", "_tie", "_tie2"], kind="stable")
         rng = np.random.default_rng([seed, int(pdf["_block"].iloc[0]) & 0xFFFFFFFF, int(pdf["_round"].iloc[0])])
         pdf["_p"] = decide(pdf["_p"].to_numpy(), pdf["size"].to_numpy(), rng, last)
         return pdf
@@ -126,9 +126,15 @@ def _fly(last: bool, seed: int):
     return run
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """One row a document: key, source, size, source_size, target, copies, taken."""
-    sized = stage(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "mix-sizes")
+def _row_id(docs: DataFrame) -> list[Column]:
+    """128 bits of hash over all columns, nulls told from values: equal for equal rows only."""
+    every = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(F.lit(salt), *every).alias(name) for salt, name in ((1, "_tie"), (2, "_tie2"))]
+
+
+def _decided(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, block: int = BLOCK) -> DataFrame:
+    """One row a document: _tie, _tie2 (its row id), _key, source, size, source_size, target, copies."""
+    sized = stage(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *_row_id(docs)), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = stage(source_targets(sizes.drop("_rows"), weights, cap), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -138,9 +144,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, k
     )
     plan = plan.withColumn("_sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "_s"), F.lit("n"))))
     units = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "_key", "source", "size", "source_size", "target", "_sid", "_blocks", F.floor("_ratio").cast("long").alias("_whole"), F.when(F.col("size") > 0, F.col("_ratio") - F.floor("_ratio")).otherwise(F.lit(0.0)).alias("_p")
+        "_key", "_tie", "_tie2", "source", "size", "source_size", "target", "_sid", "_blocks", F.floor("_ratio").cast("long").alias("_whole"), F.when(F.col("size") > 0, F.col("_ratio") - F.floor("_ratio")).otherwise(F.lit(0.0)).alias("_p")
     )
-    units = units.withColumn("_block", F.xxhash64("_sid", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_blocks")))).withColumn("_round", F.lit(0)).withColumn("_tie", F.monotonically_increasing_id())
+    units = units.withColumn("_block", F.xxhash64("_sid", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_blocks")))).withColumn("_round", F.lit(0))
     done: list[DataFrame] = []
     open_p = (F.col("_p") > _EPS) & (F.col("_p") < 1 - _EPS)
     most = plan.agg(F.max("_blocks")).first()[0] or 1
@@ -158,15 +164,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, k
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.round("_p").cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("_tie", "_tie2", "_key", "source", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, block: int = BLOCK) -> DataFrame:
+    """One row a document: key, source, size, source_size, target, copies, taken."""
+    out = _decided(docs, weights, cap, key, text, source, seed, block)
+    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns only.
 
-    Rows that share a key are taken equally often.
+    Rows are decided one by one, whatever their keys; rows equal in all columns stand
+    as often as they are taken together.
     """
-    key = options.get("key", "doc_id")
-    mixed = mix(docs, **options).groupBy(F.col(key).alias("_k")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(mixed.where("_copies > 0"), F.col(key).eqNullSafe(F.col("_k")))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    a, b = _row_id(docs)
+    total = _decided(docs, **options).groupBy(F.col("_tie").alias("_a"), F.col("_tie2").alias("_b")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    # equal rows become one, in each task first; the join deals by the same id
+    rows = docs.select("*", a, b).dropDuplicates(["_tie", "_tie2"])
+    taken = rows.join(total, (F.col("_tie") == F.col("_a")) & (F.col("_tie2") == F.col("_b")))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
