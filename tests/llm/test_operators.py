@@ -512,6 +512,20 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() == int((out < 0.5).sum())
 
 
+def test_inserted_characters_do_not_hide_insults(spark):
+    rows, toxic = labelled()
+    model = toxicity.train(documents(spark, rows), spark.createDataFrame(toxic, "doc_id long, quality int, toxic int"), "toxic", F.lit(True))
+    clean = [t for (_, t), (_, _, y) in zip(rows, toxic) if not y][:200]
+    before = model.score(pa.array(clean))
+    assert np.mean(before < 0.5) > 0.95
+    base = next(t for t, p in zip(clean, before) if p < 0.3)
+    for between in ("\u200b", "\u2022", "---", " ", "\U0001f600", "\u4e2d", ". ", "_", "\u00a0", "\u0301", "  *  "):
+        hidden = [f"{base} {between.join(w)} {base}" for w in INSULTS]
+        assert (model.score(pa.array(hidden)) >= 0.5).all(), repr(between)
+    plain = ["don't", "x y", "a-b", "caf\u00e9", "end.", "1 2 3 4"]
+    assert (model.score(pa.array([f"{base} {p}" for p in plain])) < 0.5).all()
+
+
 def test_kernel_folds_exactly():
     words, landmarks = ["grobnik", "gr-obnik", "other", "ab", "É"], ["grobnik", "wastrel", "banana"]
     k = toxicity.kernel(words, landmarks)

@@ -3,10 +3,15 @@
 The kernel compares two words by their common subsequences of three characters
 whose gaps are at most two, each weighted ``DECAY`` a skipped character and
 normalised for length; so an insult still matches with a suffix, a dropped
-letter or inserted characters.  An SVM is trained in the Nyström space of
+letter or inserted letters.  Characters are code points.  Inserted characters
+that are no letters or digits may be any number: behind a text stand its words
+without them (also without zero-width and format characters, and without letters
+of other scripts than Latin), and its runs of three or more single letters, joined
+(``unmasked``).  A word cut into pieces of two letters and more by white space is
+not joined.  An SVM is trained in the Nyström space of
 ``LANDMARKS`` words.  Its decision function is a sum over landmarks of kernel
 values, and a kernel value is a dot product over 3-character codes, so the sum
-folds into one table of 64**3 weights.  Scoring is nine table lookups a byte,
+folds into one table of 64**3 weights.  Scoring is nine table lookups a character,
 exactly the landmark expansion, in numpy over whole batches.
 
 Training labels mark whole texts.  A word is a positive example if a stem of it
@@ -24,7 +29,11 @@ none); equal rows get equal scores; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import string
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,16 +52,81 @@ DECAY = 0.6
 STEMS = (4, 5, 6, 7, 8)
 CODES = 64
 
-#: Character classes: letters fold case and common digit substitutions.
-_CLASS = np.full(256, 61, np.int64)
+#: Character classes: letters fold case, accents and common digit substitutions; letters of other scripts
+#: share 32 classes, and all that is neither letter nor digit is one class, a character of any number of bytes.
+_CLASS = np.full(128, 61, np.int64)
 for _i in range(26):
     _CLASS[97 + _i] = _CLASS[65 + _i] = 1 + _i
 for _a, _b in zip(b"013457@$", b"oieastas"):
     _CLASS[_a] = _b - 96
 for _a in b"2689":
     _CLASS[_a] = 27
-_CLASS[0xC0:] = 28
-_CLASS[0x80:0xC0] = 29 + (np.arange(0x80, 0xC0) & 0x1F)
+SPAN = 12  # letters of a spelled-out run that are one word
+
+
+@lru_cache(1)
+def _wide() -> np.ndarray:
+    """Class of every code point below 0x20000."""
+    out = np.full(0x20000, 61, np.int64)
+    out[:128] = _CLASS
+    for i in range(128, 0x20000):
+        c = chr(i)
+        if c.isalnum():
+            base = ord(unicodedata.normalize("NFKD", c)[0])
+            out[i] = _CLASS[base] if base < 128 else 29 + (i & 0x1F)
+    return out
+
+
+def _class_of(points: np.ndarray) -> np.ndarray:
+    if not len(points) or points.max() < 128:
+        return _CLASS[points]
+    return np.where(points < 0x20000, _wide()[np.minimum(points, 0x1FFFF)], 29 + (points & 0x1F))
+
+
+def _points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where characters start, their code points) of UTF-8 bytes."""
+    start = np.flatnonzero((raw & 0xC0) != 0x80)
+    more = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int64)
+    lead = more[start]
+    wide = np.flatnonzero(lead >= 0xC0)
+    at, c = start[wide], lead[wide]
+    x, y, z = (more[at + i] & 0x3F for i in (1, 2, 3))
+    lead[wide] = np.where(c < 0xE0, (c & 0x1F) << 6 | x, np.where(c < 0xF0, (c & 0x0F) << 12 | x << 6 | y, (c & 0x07) << 18 | x << 12 | y << 6 | z))
+    return start, lead
+
+
+@lru_cache(1 << 16)
+def _plain(word: str) -> tuple[str, ...]:
+    """What a word may hide: it without separators, zero-width and format characters, and without all that is not Latin."""
+    full = [c for c in unicodedata.normalize("NFKD", word) if c.isalnum()]
+    found = ["".join(full), "".join(c for c in full if c < "\x80")]
+    core = word.strip(string.punctuation)
+    if "@" in core or "$" in core:
+        found.append("".join(c for c in word if c.isalnum() or c in "@$"))
+    return tuple(dict.fromkeys(f for f in found if len(f) >= 3 and len(f) != len(core)))
+
+
+#: Three or more single letters or digits with anything else between them, white space too.
+_SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]++[^\W_](?![^\W_])){2,}+")
+
+
+def unmasked(texts: pa.Array) -> pa.Array:
+    """``texts``, each with the words behind it that inserted characters hide."""
+    out, changed = [], False
+    for text in texts.to_pylist():
+        if text:
+            if isinstance(text, bytes):
+                text = text.decode("utf-8", "replace")
+            hidden = {h for w in set(text.split()) if not (w.isascii() and w.isalnum()) for h in _plain(w)}
+            for m in _SPELLED.finditer(text):
+                letters = "".join(c for c in m.group() if c.isalnum())
+                if any(c.isalpha() for c in letters):
+                    hidden.update(letters[i : i + SPAN] for i in range(0, max(1, len(letters) - SPAN + 4), 4))
+            if hidden:
+                text, changed = f"{text} {' '.join(sorted(hidden))}", True
+        out.append(text)
+    return pa.array(out, pa.large_string()) if changed else texts
+
 
 _GAPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
 
@@ -68,7 +142,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Sparse kernel features of words: (word, code, weight), normalised for length."""
     rows, codes, weights = [], [], []
     for i, word in enumerate(words):
-        c = _CLASS[np.frombuffer(word.encode("utf-8", "replace"), np.uint8)]
+        c = _class_of(_points(np.frombuffer(word.encode("utf-8", "replace"), np.uint8))[1])
         norm = float(_length_norm(np.array([len(c)]))[0])
         for a, b in _GAPS:
             n = len(c) - a - b
@@ -110,10 +184,14 @@ class Model:
         w = Words(texts, hashes=False)
         if not len(w.start):
             return w, np.zeros(0)
-        length = w.end - w.start
-        at = np.cumsum(length) - length
-        inside = np.arange(int(length.sum())) - np.repeat(at, length)
-        code = _CLASS[w.data[inside + np.repeat(w.start, length)]].astype(np.int32)
+        size = w.end - w.start
+        at = np.cumsum(size) - size
+        raw = w.data[np.arange(int(size.sum())) - np.repeat(at, size) + np.repeat(w.start, size)]
+        start, points = _points(raw)
+        code = _class_of(points).astype(np.int32)
+        at = np.searchsorted(start, at)  # in characters from here on
+        length = np.diff(np.append(at, len(code)))
+        inside = np.arange(len(code)) - np.repeat(at, length)
         room = np.repeat(length, length) - inside
         total = np.zeros(len(code), np.float32)
         table = self.weights
@@ -127,7 +205,7 @@ class Model:
 
     def text_margins(self, texts: pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
         """Highest word margin a text; texts without words get the margin of no evidence."""
-        w, margin = self.word_margins(texts)
+        w, margin = self.word_margins(unmasked(texts))
         n = len(w.offsets) - 1
         top, where = np.full(n, self.bias), np.full(n, -1)
         some = np.flatnonzero(np.diff(w.first) > 0)
@@ -214,8 +292,6 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(stem, word, toxic) once a text, of a batch of (text, y)."""
-    import re
-
     word = re.compile(r"\w+")
     for b in batches:
         for part in slices(b, 0):
