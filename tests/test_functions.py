@@ -201,3 +201,13 @@ def test_tile_components(spark):
     found = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (9, 9)], "tile_x long, tile_y long")
     roots = {(r["tile_x"], r["tile_y"]): (r["root_x"], r["root_y"]) for r in tile_components(found).collect()}
     assert roots == {(0, 0): (0, 0), (1, 1): (0, 0), (2, 1): (0, 0), (9, 9): (9, 9)}
+
+
+def test_dictionary_of_more_terms_than_a_scan_takes(spark):
+    from weft.operators import search
+
+    texts = [(0, "w3 W70 w70"), (1, None), (2, "w99 w0w0"), (3, "none")]
+    pages = spark.createDataFrame(texts, "doc_id long, text string")
+    terms = spark.createDataFrame([(i, f"w{i}") for i in range(100)], "term_id long, term string")
+    want = sorted((k, i, n) for k, t in texts for i in range(100) if (n := (t or "").lower().count(f"w{i}")))
+    assert sorted(tuple(r) for r in search.dictionary_search(pages, terms).collect()) == want

@@ -60,17 +60,19 @@ def count_occurrences(pages: DataFrame, query: str, key: str = "doc_id", text: s
 
 
 def dictionary_search(pages: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", most_terms: int = 64) -> DataFrame:
-    """(key, term_id, n) for each term that a page holds; ``terms`` (term_id, term) has at most ``most_terms`` rows.
+    """(key, term_id, n) for each term that a page holds.
 
-    The terms become literals of one scan: their number is checked, and each text is read once.
+    The terms become literals of a scan, ``most_terms`` of them at most: more terms are more scans of the texts.
     """
-    listed = terms.select("term_id", "term").orderBy("term_id").limit(most_terms + 1).collect()
-    if len(listed) > most_terms:
-        raise ValueError(f"more than {most_terms} terms: search them in several calls")
+    listed = terms.select("term_id", "term").orderBy("term_id").collect()
     body = fold(F.col(text))
-    found = F.array(*[F.struct(F.lit(r["term_id"]).cast("bigint").alias("term_id"), (F.size(F.split(body, f"(?={quoted(fold_literal(r['term']))})", -1)) - 1 + F.when(F.startswith(body, F.lit(fold_literal(r["term"]))), 1).otherwise(0)).alias("n")) for r in listed])
-    exploded = pages.where(F.col(text).isNotNull()).select(key, F.explode(found).alias("f"))
-    return exploded.select(key, "f.term_id", "f.n").where("n > 0")
+    out = None
+    for lo in range(0, max(1, len(listed)), most_terms):
+        literals = [F.struct(F.lit(r["term_id"]).cast("bigint").alias("term_id"), (F.size(F.split(body, f"(?={quoted(fold_literal(r['term']))})", -1)) - 1 + F.when(F.startswith(body, F.lit(fold_literal(r["term"]))), 1).otherwise(0)).alias("n")) for r in listed[lo : lo + most_terms]]
+        found = F.array(*literals) if literals else F.array().cast("array<struct<term_id:bigint,n:int>>")
+        part = pages.where(F.col(text).isNotNull()).select(key, F.explode(found).alias("f")).select(key, "f.term_id", "f.n").where("n > 0")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # --- items of a page and geometry ---
