@@ -358,6 +358,14 @@ def test_top_k(spark, monkeypatch, case):
     assert sort(tuple(r) for r in got.collect()) == sort(brute_top(rows, 5))
 
 
+def test_queries_that_share_an_id_are_all_asked(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [0.5, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    pooled = sorted((-65536 * sum(x * y for x, y in zip(a, b)), i) for o, a in rows if o == 0 for i, b in rows if i != 0)[:4]
+    got = topk.top_k(vectors, F.col("vec_id") == 0, 4).collect()
+    assert sort(tuple(r) for r in got) == sort((0, n + 1, i, int(-s)) for n, (s, i) in enumerate(pooled))
+
+
 def test_tree_computes_less():
     rng = np.random.default_rng(5)
     centres = rng.integers(-100, 100, (40, 16))

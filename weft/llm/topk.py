@@ -231,7 +231,10 @@ def _search(k: int):
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k highest inner products, ties to the smaller id."""
+    """query_id, rank (from 1), vec_id, score: each query's k highest inner products, ties to the smaller id.
+
+    Query rows that share an id are all asked, and what they find is ranked together, as in the SQL.
+    """
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), is_query.alias("q")).where("id is not null and v is not null and size(v) > 0")
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     empty = "query_id long, rank int, vec_id long, score long"
@@ -251,9 +254,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     paged = dealt.withColumn("page", (start + F.pmod(F.xxhash64("id", F.lit(3)), many)).cast("int"))
     pages = stage(paged.groupBy("page").applyInPandas(_build_page, "page int, tree binary, centre array<double>, radius double"), "topk-pages")
 
-    asked = rows.where("q").select("id", "v").dropDuplicates(["id"])
+    asked = rows.where("q").select("id", "v")
     groups = max(1, -(-asked.count() // QUERY_GROUP))
-    group = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(groups)).cast("int")
+    group = F.pmod(F.xxhash64("id", "v", F.lit(5)), F.lit(groups)).cast("int")
     homes = asked.mapInArrow(_assign(pivots), "id long, v array<long>, pivot int").select("id", "v", start.cast("int").alias("home"), group.alias("g"))
     homes = stage(homes, "topk-queries")
     spread = pages.select("page", "tree").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
