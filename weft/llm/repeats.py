@@ -223,7 +223,7 @@ def candidates(docs: DataFrame, anchors: Callable, across: bool, buckets: int, n
     if hot.count() <= SMALL:  # else the join shuffles, and adaptive execution splits its large partitions
         hot = F.broadcast(hot)
     marked = hits.where("n > 0").join(hot, F.col("key") == F.col("_hot"), "left").select("rid", F.struct("start", "n", "key", F.col("_hot").isNotNull().alias("hot")).alias("run"))
-    return stage(marked.groupBy("rid").agg(F.collect_list("run").alias("runs")), f"{name}-runs", release=True)
+    return stage(marked.groupBy("rid").agg(F.collect_set("run").alias("runs")), f"{name}-runs", release=True)  # equal rows have one id: their runs count once
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -383,7 +383,7 @@ def each(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """``docs`` and, by rid, the list of window runs of each row (null where it has none)."""
-    lists = windows.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    lists = windows.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("gone"))  # as many as one of several equal rows has
     return docs.join(lists, "rid", "left")
 
 

@@ -6,8 +6,8 @@ exactly the repeated windows.  The first digit is the suffix's anchor (see
 ``repeats``): suffixes whose anchor occurs once are alone in their group and are
 dropped at once, and a run of suffixes with one anchor travels as one row.  In the
 reducer, equal runs are a group as a whole; the suffixes of runs that differ are
-split by eight passes over digits of an eighth of the depth each, and a pass keeps
-only groups of two and more.
+put in order by passes over digits of eight bytes, and a pass keeps only groups of two
+and more.
 
 Every byte covered by a repeated window goes, in all its places.
 
@@ -29,7 +29,7 @@ from weft.llm.repeats import Prefix, buckets_for, candidates, covered, each, ord
 from weft.llm.tokens import _byte_table, buffers, grams, minimizers, slices
 
 DEPTH = 400
-DIGITS = 8
+DIGIT = 8  # bytes
 _BYTES, _OTHER = _byte_table(3), _byte_table(4)
 
 
@@ -70,27 +70,43 @@ class _Text:
         return run, window, grams(_BYTES[self.data], self.depth)[at], grams(_OTHER[self.data], self.depth, 0xDA942042E4DD58B5)[at]
 
 
-def radix_groups(data: np.ndarray, at: np.ndarray, depth: int, digits: int = DIGITS) -> np.ndarray:
-    """Indices into ``at`` of the suffixes whose first ``depth`` bytes another suffix shares.
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one big-endian number (zeros beyond the end)."""
+    wide = np.zeros(len(data) + DIGIT - 1, np.uint64)
+    wide[: len(data)] = data
+    for shift in (1, 2, 4):
+        rest = np.zeros(len(wide), np.uint64)
+        rest[:-shift] = wide[shift:]
+        wide = (wide << np.uint64(8 * shift)) | rest
+    return wide[: len(data)]
 
-    A digit is a hash of depth / digits bytes (the last one takes the rest).
+
+def radix_groups(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Indices into ``at``, in order of their suffixes, of those whose first ``depth`` bytes another suffix shares.
+
+    A digit is the next eight bytes (the last one takes what is left).  A pass orders the
+    members of the groups that hold several digits, and drops whoever is left alone.
     """
-    alive = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
-    width = max(1, depth // digits)
-    done = 0
-    while done < depth and len(alive):
-        size = width if depth - done >= 2 * width else depth - done
-        digit = grams(_BYTES[data], size)[at[alive] + done]
-        order = np.lexsort((digit, group))
-        g, d = group[order], digit[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-        first = np.flatnonzero(head)
-        count = np.diff(np.append(first, len(order)))
-        keep = np.repeat(count > 1, count)
-        alive, group = alive[order[keep]], np.repeat(np.arange(len(first)), count)[keep]
-        done += size
+    digits = _words(data)
+    alive, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for done in range(0, depth, DIGIT):
+        if not len(alive):
+            break
+        digit = digits[at[alive] + done]
+        if depth - done < DIGIT:
+            digit = digit >> np.uint64(8 * (DIGIT - depth + done))
+        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.append(head, len(group)))
+        split = np.repeat(np.logical_or.reduceat(digit != np.repeat(digit[head], size), head), size)
+        some = np.flatnonzero(split)
+        if len(some):
+            order = some[np.lexsort((digit[some], group[some]))]
+            alive[some], digit[some] = alive[order], digit[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(group)))
+        keep = np.repeat(size > 1, size)
+        alive, group = alive[keep], np.repeat(np.arange(len(first)), size)[keep]
     return alive
 
 
