@@ -110,6 +110,88 @@ def gray_to_rgb(g: Column) -> list[Column]:
     return [component_to_byte(g)] * 3
 
 
+def calibrated_gray(value: Column, gamma: float = 1.0, luminance: float = 1.0) -> list[Column]:
+    """Gray of a gamma curve; lightness goes to bytes by a cube root, cut to whole numbers; a gamma below 1 counts as 1."""
+    level = F.pow(value, F.lit(max(1.0, gamma))) * luminance
+    byte = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.cbrt(level) * 295.8 - 40.8))
+    return [F.floor(byte).cast("int")] * 3
+
+
+#: Cone response of XYZ and back, XYZ (D65) to linear RGB, and the D65 white point.
+TO_CONES = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
+FROM_CONES = ((0.9869929, -0.1470543, 0.1599627), (0.4323053, 0.5183603, 0.0492912), (-0.0085287, 0.0400428, 0.9684867))
+XYZ_TO_LINEAR = ((3.2404542, -1.5371385, -0.4985314), (-0.969266, 1.8760108, 0.041556), (0.0556434, -0.2040259, 1.0572252))
+WHITE_D65 = (0.95047, 1.0, 1.08883)
+
+
+def _product(*matrices: Sequence[Sequence[float]]) -> list[list[float]]:
+    out = [list(row) for row in matrices[0]]
+    for m in matrices[1:]:
+        out = [[sum(row[k] * m[k][j] for k in range(3)) for j in range(3)] for row in out]
+    return out
+
+
+def _diagonal(values: Sequence[float]) -> list[list[float]]:
+    return [[v if i == j else 0.0 for j in range(3)] for i, v in enumerate(values)]
+
+
+def calibrated_rgb(values: Sequence[Column], white: Sequence[float] = (1.0, 1.0, 1.0), gamma: Sequence[float] = (1.0, 1.0, 1.0), matrix: Sequence[float] = (1, 0, 0, 0, 1, 0, 0, 0, 1)) -> list[Column]:
+    """Linear light of a gamma curve, adapted from its white point to a flat one and on to D65, then to sRGB bytes.
+
+    All steps but the curves are linear, so they are one matrix, made on the driver.  ``matrix`` is by rows of XYZ.
+    """
+    to_xyz = [matrix[i * 3 : i * 3 + 3] for i in range(3)]
+    flat = _diagonal((1.0, 1.0, 1.0)) if white[0] == 1 and white[2] == 1 else _product(FROM_CONES, _diagonal([1.0 / w for w in white]), TO_CONES)
+    whole = _product(XYZ_TO_LINEAR, FROM_CONES, _diagonal(WHITE_D65), TO_CONES, flat, to_xyz)
+    light = [F.pow(_unit(v), F.lit(float(g))) for v, g in zip(values, gamma)]
+    out = []
+    for row in whole:
+        level = sum(x * w for x, w in zip(light, row))
+        curve = F.when(level <= 0.0031308, level * 12.92).when(level >= 0.99554525, F.lit(1.0)).otherwise(F.pow(F.greatest(level, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055)
+        out.append(F.round(_unit(curve) * 255).cast("int"))
+    return out
+
+
+def separation(tint: Column, function, alternate) -> list[Column]:
+    """A tint's colour: ``function`` (tint to components) in the ``alternate`` space; without a function, the space's colour of 0."""
+    return alternate(*function(tint)) if function is not None else alternate(F.lit(0.0))
+
+
+#: Named spaces and what they make of their components; more are added with ``register_space``.
+SPACES = {"DeviceGray": lambda g: gray_to_rgb(g), "DeviceRGB": lambda r, g, b: [component_to_byte(v) for v in (r, g, b)], "DeviceCMYK": lambda c, m, y, k: cmyk_to_rgb(c, m, y, k)}
+
+
+def register_space(name: str, convert) -> None:
+    SPACES[name] = convert
+
+
+def color_space(spec):
+    """The conversion of a space: a name, ``("Separation", function, alternate)``, ``("Indexed", base, top, table)``, ``("ICCBased", components)`` or ``("DeviceN", ...)``.
+
+    A profile counts as the device space of its number of components, and several colorants as RGB.
+    """
+    if isinstance(spec, str):
+        if spec not in SPACES:
+            raise ValueError(f"unknown color space {spec}")
+        return SPACES[spec]
+    kind, *rest = spec
+    if kind == "Separation":
+        function, alternate = rest[0], color_space(rest[1])
+        return lambda tint: separation(tint, function, alternate)
+    if kind == "Indexed":
+        base, top, table = color_space(rest[0]), rest[1], rest[2]
+        width = len(table) // (top + 1)
+        bytes_of = F.array(*[F.lit(float(b) / 255.0) for b in table])
+        return lambda index: base(*[indexed(F.greatest(F.lit(0), F.least(F.lit(top), index.cast("int"))) * width + i, bytes_of, len(table) - 1) for i in range(width)])
+    if kind == "ICCBased":
+        return SPACES[{1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}[rest[0]]]
+    if kind == "DeviceN":
+        return SPACES["DeviceRGB"]
+    if kind in ("CalGray", "CalRGB"):
+        return SPACES["DeviceGray" if kind == "CalGray" else "DeviceRGB"]
+    raise ValueError(f"unknown color space {kind}")
+
+
 def indexed(index: Column, palette: Column, top: int) -> Column:
     """Palette entry; the index is clamped to 0..top."""
     return F.get(palette, F.greatest(F.lit(0), F.least(F.lit(top), index.cast("int"))))

@@ -125,3 +125,8 @@ def sampled(x: Column, samples: Sequence[float], domain: tuple[float, float], en
     low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
     a, b = F.element_at(table, low + 1), F.element_at(table, high + 1)
     return map_range(a + (b - a) * (at - F.floor(at)) if interpolate else a, 0.0, 1.0, *decode)
+
+
+def text_adjustment(amount: Column, size: Column, scale: float) -> Column:
+    """Shift of a number between strings, in thousandths of the size; a size of 0 counts as 12."""
+    return -amount / 1000.0 * F.when(size == 0, 12.0).otherwise(size) * scale

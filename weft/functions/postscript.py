@@ -87,6 +87,42 @@ _UNARY = {
 }
 
 
+def _whole(x: Column) -> Column:
+    return _trunc(x).cast("bigint")
+
+
+def _shifted(a: Column, b: Column) -> Column:
+    """Left for positive counts, right, with the sign, for others; 64 places and more leave nothing but the sign."""
+    v, n = _whole(a), _whole(b)
+    left = F.when(n > 63, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftleft", v, F.least(n, F.lit(63)).cast("int")))
+    right = F.call_function("shiftright", v, F.least(-n, F.lit(63)).cast("int"))
+    return F.when(n > 0, left).otherwise(right).cast("double")
+
+
+#: Where the second evaluator differs: whole numbers for logic, angles from 0 to 360, floors for whole numbers, NaN for roots.
+_BITWISE = {
+    "atan": lambda a, b: F.pmod(F.degrees(F.atan2(a, b)), F.lit(360.0)),
+    "and": lambda a, b: _whole(a).bitwiseAND(_whole(b)).cast("double"),
+    "or": lambda a, b: _whole(a).bitwiseOR(_whole(b)).cast("double"),
+    "xor": lambda a, b: _whole(a).bitwiseXOR(_whole(b)).cast("double"),
+    "bitshift": _shifted,
+}
+_BITWISE_UNARY = {
+    "not": lambda v: F.bitwise_not(_whole(v)).cast("double"),
+    "cvi": lambda v: F.floor(v).cast("double"),
+    "sqrt": lambda v: F.when(v >= 0, F.sqrt(v)).otherwise(F.when(v.isNotNull(), F.lit(float("nan")))),
+    "sin": lambda v: F.sin(F.radians(v % 360)),
+    "cos": lambda v: F.cos(F.radians(v % 360)),
+}
+_ONLY_LOGICAL = {"max", "min"}
+
+
+def _operators(bitwise: bool) -> tuple[dict, dict]:
+    if not bitwise:
+        return _BINARY, _UNARY
+    return {k: v for k, v in (_BINARY | _BITWISE).items() if k not in _ONLY_LOGICAL}, _UNARY | _BITWISE_UNARY
+
+
 def _constant(item) -> int:
     if not isinstance(item, float):
         raise ProgramError("a stack operator needs a literal count")
@@ -99,7 +135,9 @@ def _column(item) -> Column:
     return F.lit(item) if isinstance(item, float) else item
 
 
-def _run(tokens: list, stack: list) -> list:
+def _run(tokens: list, stack: list, bitwise: bool = False) -> list:
+    binary, unary = _operators(bitwise)
+
     def pop():
         if not stack:
             raise ProgramError("stack underflow")
@@ -110,11 +148,11 @@ def _run(tokens: list, stack: list) -> list:
             stack.append(token)
         elif token in ("true", "false"):
             stack.append(1.0 if token == "true" else 0.0)
-        elif token in _BINARY:
+        elif token in binary:
             b, a = _column(pop()), _column(pop())
-            stack.append(_BINARY[token](a, b))
-        elif token in _UNARY:
-            stack.append(_UNARY[token](_column(pop())))
+            stack.append(binary[token](a, b))
+        elif token in unary:
+            stack.append(unary[token](_column(pop())))
         elif token == "pop":
             pop()
         elif token == "dup":
@@ -146,7 +184,7 @@ def _run(tokens: list, stack: list) -> list:
             yes, condition = pop(), _column(pop())
             if not isinstance(yes, list) or not isinstance(no, list):
                 raise ProgramError("a procedure is expected")
-            one, two = _run(yes, list(stack)), _run(no, list(stack))
+            one, two = _run(yes, list(stack), bitwise), _run(no, list(stack), bitwise)
             if len(one) != len(two):
                 raise ProgramError("branches leave stacks of different depth")
             stack = [a if a is b else F.when(condition != 0, _column(a)).otherwise(_column(b)) for a, b in zip(one, two)]
@@ -158,6 +196,6 @@ def _run(tokens: list, stack: list) -> list:
     return stack
 
 
-def compile_program(source: str, *inputs: Column) -> list[Column]:
-    """The stack that the program leaves, bottom first."""
-    return [_column(x) for x in _run(parse(source), [i.cast("double") for i in inputs])]
+def compile_program(source: str, *inputs: Column, bitwise: bool = False) -> list[Column]:
+    """The stack that the program leaves, bottom first; ``bitwise`` picks the evaluator of standalone functions."""
+    return [_column(x) for x in _run(parse(source), [i.cast("double") for i in inputs], bitwise)]

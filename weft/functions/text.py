@@ -87,6 +87,33 @@ def hex_bytes(token: Column) -> Column:
     return F.unhex(F.concat(digits, F.when(F.length(digits) % 2 == 1, F.lit("0")).otherwise(F.lit(""))))
 
 
+#: Private-use code points of symbol fonts and the characters that they stand for.
+SYMBOLS = {
+    0xF6D9: 0x00A9, 0xF6DA: 0x00AE, 0xF6DB: 0x2122, 0xF8E8: 0x00AE, 0xF8E9: 0x00A9, 0xF8EA: 0x2122, 0xF8EB: 0x239B, 0xF8EC: 0x239C,
+    0xF8ED: 0x239D, 0xF8EE: 0x23A1, 0xF8EF: 0x23A2, 0xF8F0: 0x23A3, 0xF8F1: 0x23A7, 0xF8F2: 0x23A8, 0xF8F3: 0x23A9, 0xF8F6: 0x239E,
+    0xF8F7: 0x239F, 0xF8F8: 0x23A0, 0xF8F9: 0x23A4, 0xF8FA: 0x23A5, 0xF8FB: 0x23A6, 0xF8FC: 0x23AB, 0xF8FD: 0x23AC, 0xF8FE: 0x23AD,
+}
+
+
+def map_symbols(text: Column) -> Column:
+    """Symbols of the private use area as common characters, soft hyphens as hyphens; the block U+FFF0..U+FFFF goes."""
+    kept = F.regexp_replace(text, r"[\x{FFF0}-\x{FFFF}]", "")
+    return F.translate(kept, "".join(map(chr, SYMBOLS)) + "\u00ad", "".join(map(chr, SYMBOLS.values())) + "-")
+
+
+def category_counts(text: Column) -> Column:
+    """struct<spaces, marks, formats>: white space, nonspacing marks and format characters of a text."""
+    return F.struct(
+        F.regexp_count(text, F.lit(r"[\p{Z}\t\n\x{0B}\f\r\x{85}]")).alias("spaces"), F.regexp_count(text, F.lit(r"\p{Mn}")).alias("marks"), F.regexp_count(text, F.lit(r"\p{Cf}")).alias("formats")
+    )
+
+
+def first_readable(*layers: Column) -> Column:
+    """The first layer that is neither blank nor garbled; else the first that is not blank; else empty text."""
+    good = [F.when(~is_garbled(x), x) for x in layers]
+    return F.coalesce(*good, *[F.nullif(x, F.lit("")) for x in layers], F.lit(""))
+
+
 # --- page labels ---
 
 #: Digits of Roman numerals by decimal place.
@@ -104,18 +131,20 @@ def roman(n: Column) -> Column:
 
 
 def alphabetic(n: Column, upper: bool = True) -> Column:
-    """A..Z, AA, AB, ...: bijective base 26; below 1 the decimal number."""
-    rest, letters = n.cast("bigint"), []
-    for _ in range(14):  # 26**13 is beyond 2**61
-        some = rest > 0
-        letters.append(F.when(some, F.char((F.pmod(rest - 1, F.lit(26)) + (65 if upper else 97)).cast("bigint"))).otherwise(F.lit("")))
-        rest = F.when(some, F.floor((rest - 1) / 26).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        if len(letters) == 7:  # 26**7 pages are enough for expressions of a bearable size
-            break
+    """A..Z, AA, AB, ...: bijective base 26 of up to seven letters; below 1 the decimal number.
+
+    ``below`` numbers are too short for a letter at place p, which counts 26**p.
+    """
+    count, letters = n.cast("bigint"), []
+    for p in range(7):
+        below = sum(26**q for q in range(1, p + 1))
+        digit = F.pmod(F.floor((count - 1 - below) / 26**p), F.lit(26)) + (65 if upper else 97)
+        letters.append(F.when(count > below, F.char(digit.cast("bigint"))).otherwise(F.lit("")))
     return F.when(n > 0, F.concat(*reversed(letters))).otherwise(n.cast("string"))
 
 
 def page_label(prefix: Column, style: Column, start: Column, offset: Column) -> Column:
     value = F.greatest(start + offset, F.lit(1))
-    ordinal = F.when(style == "R", roman(value)).when(style == "r", F.lower(roman(value))).when(style == "A", alphabetic(value)).when(style == "a", alphabetic(value, False)).otherwise(value.cast("string"))
+    capitals = F.when(F.upper(style) == "R", roman(value)).when(F.upper(style) == "A", alphabetic(value)).otherwise(value.cast("string"))
+    ordinal = F.when(style.isin("r", "a"), F.lower(capitals)).otherwise(capitals)
     return F.concat(prefix, F.when(F.trim(style) == "", F.lit("")).otherwise(ordinal))

@@ -23,6 +23,24 @@ def metrics(pixels: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
     return sums.withColumn("exact_percent", percent(F.col("matched"), F.col("total"))).withColumn("similarity_percent", F.greatest(F.lit(0.0), 100.0 - percent(F.col("abs_delta"), F.col("total") * top)))
 
 
+def compare_images(left: DataFrame, right: DataFrame, channels: Sequence[str], white: int | None = None) -> DataFrame:
+    """Metrics of two images of (x, y, channels), whatever their sizes.
+
+    A pixel that one image lacks is a mismatch over the larger area, or, with ``white``, a pixel of that value.
+    """
+    a = left.select("x", "y", F.lit(True).alias("_in_a"), *[F.col(c).alias(f"{c}_a") for c in channels])
+    b = right.select("x", "y", F.lit(True).alias("_in_b"), *[F.col(c).alias(f"{c}_b") for c in channels])
+    both = a.join(b, ["x", "y"], "full_outer")
+    if white is not None:
+        return metrics(both.na.fill(white, [f"{c}_{s}" for c in channels for s in "ab"]), [f"{c}_a" for c in channels], [f"{c}_b" for c in channels])
+    same = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    for c in channels:
+        same = same & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    area = F.greatest(F.max(F.when(F.col("_in_a"), F.col("x"))), F.max(F.when(F.col("_in_b"), F.col("x")))) + 1, F.greatest(F.max(F.when(F.col("_in_a"), F.col("y"))), F.max(F.when(F.col("_in_b"), F.col("y")))) + 1
+    sums = both.agg(F.count_if(same).alias("matched"), (area[0].cast("bigint") * area[1]).alias("total"))
+    return sums.select("total", "matched", percent(F.col("matched"), F.col("total")).alias("exact_percent"))
+
+
 def amplified_xor(a: Column, b: Column) -> Column:
     """Brightness of a differing channel: 64 and up; 0 for equal ones."""
     v = a.bitwiseXOR(b)

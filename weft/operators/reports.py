@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.numeric import percent
@@ -58,8 +58,8 @@ def page_spine(left: DataFrame, right: DataFrame, document: str, page: str) -> D
     return joined.select(document, page, status.alias("status"))
 
 
-def zip_rows(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], most: int = 50) -> DataFrame:
-    """The i-th row of one side with the i-th of the other, for the first ``most`` of both."""
-    a = left.orderBy(*left_order).limit(most).withColumn("i", F.row_number().over(Window.orderBy(*left_order)))
-    b = right.orderBy(*right_order).limit(most).withColumn("i", F.row_number().over(Window.orderBy(*right_order)))
-    return a.join(b, "i")
+def markdown_summary(rows: DataFrame, threshold: float, is_page: Column, passed: Column, error: Column) -> DataFrame:
+    """One row: the counts of a report as a Markdown list."""
+    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(is_page).alias("pages"), F.count_if(is_page & passed).alias("passed"), F.count_if(error).alias("errors"))
+    line = lambda name, c: F.concat(F.lit(f"- {name}: `"), F.col(c).cast("string"), F.lit("`"))
+    return n.select(F.concat_ws("\n", F.lit("# Summary"), F.lit(""), F.lit(f"- Threshold: `{threshold:.2f}%`"), line("Total rows", "all"), line("Page rows", "pages"), line("Pass pages", "passed"), line("Error rows", "errors")).alias("summary"))

@@ -28,9 +28,10 @@ def find_matches(pages: DataFrame, query: str, case_sensitive: bool = False, who
     after = f"(?!{WORD_CHAR})" if whole_word else ""
     before = f"(?<!{WORD_CHAR})" if whole_word else ""
     at_start = body.rlike(f"^{quoted(term)}{after}")  # nothing can be split off before the first character
-    pieces = pages.where(body.contains(term)).select(key, at_start.alias("first"), F.posexplode(F.split(body, f"{before}(?={quoted(term)}{after})", -1)).alias("pos", "piece"))
-    lengths = pieces.select(key, "pos", F.length("piece").alias("n"), ((F.col("pos") > 0) | F.col("first")).alias("hit"))
-    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # rows are told apart by their place in the scan, so rows that share a key keep their own offsets
+    pieces = pages.where(body.contains(term)).withColumn("_row", F.monotonically_increasing_id()).select(key, "_row", at_start.alias("first"), F.posexplode(F.split(body, f"{before}(?={quoted(term)}{after})", -1)).alias("pos", "piece"))
+    lengths = pieces.select(key, "_row", "pos", F.length("piece").alias("n"), ((F.col("pos") > 0) | F.col("first")).alias("hit"))
+    so_far = Window.partitionBy(key, "_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = lengths.withColumn("start", F.coalesce(F.sum("n").over(so_far), F.lit(0)).cast("int"))
     return placed.where("hit").select(key, "start", (F.col("start") + len(term)).alias("end"))
 
@@ -46,6 +47,16 @@ def with_context(matches: DataFrame, pages: DataFrame, key: str = "doc_id", text
     return joined.select(key, "start", "end", F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("match"), context(F.col(text), F.col("start"), F.col("end")).alias("context"))
 
 
+def matches_by_page(matches: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, matches): each page's matches as an array of (start, end), in their order."""
+    return matches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("matches"))
+
+
+def searched_pages(matches: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Number of pages with a match, and of matches."""
+    return matches.agg(F.count_distinct(key).alias("pages"), F.count(F.lit(1)).alias("matches"))
+
+
 def group_by_page(matches: DataFrame, key: str = "doc_id") -> DataFrame:
     return matches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"), F.max("start").alias("last_start"))
 
@@ -62,15 +73,22 @@ def count_occurrences(pages: DataFrame, query: str, key: str = "doc_id", text: s
 def dictionary_search(pages: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", most_terms: int = 64) -> DataFrame:
     """(key, term_id, n) for each term that a page holds.
 
-    The terms become literals of a scan, ``most_terms`` of them at most: more terms are more scans of the texts.
+    Equal terms are looked for once.  Terms become literals of a scan, ``most_terms`` of them at most: more terms are
+    more scans.  A page is folded once, and a term is counted only where the page contains it.
     """
-    listed = terms.select("term_id", "term").orderBy("term_id").collect()
-    body = fold(F.col(text))
+    spelt: dict[str, list] = {}
+    for r in terms.select("term_id", "term").orderBy("term_id").toLocalIterator():
+        spelt.setdefault(fold_literal(r["term"]), []).append(r["term_id"])
+    listed = list(spelt)
+    folded = pages.where(F.col(text).isNotNull()).select(key, fold(F.col(text)).alias("_body"))
+    body = F.col("_body")
     out = None
     for lo in range(0, max(1, len(listed)), most_terms):
-        literals = [F.struct(F.lit(r["term_id"]).cast("bigint").alias("term_id"), (F.size(F.split(body, f"(?={quoted(fold_literal(r['term']))})", -1)) - 1 + F.when(F.startswith(body, F.lit(fold_literal(r["term"]))), 1).otherwise(0)).alias("n")) for r in listed[lo : lo + most_terms]]
-        found = F.array(*literals) if literals else F.array().cast("array<struct<term_id:bigint,n:int>>")
-        part = pages.where(F.col(text).isNotNull()).select(key, F.explode(found).alias("f")).select(key, "f.term_id", "f.n").where("n > 0")
+        some = listed[lo : lo + most_terms]
+        count = lambda t: F.size(F.split(body, f"(?={quoted(t)})", -1)) - 1 + F.when(F.startswith(body, F.lit(t)), 1).otherwise(0)
+        literals = [F.when(body.contains(t), F.struct(F.array(*[F.lit(i).cast("bigint") for i in spelt[t]]).alias("ids"), count(t).alias("n"))) for t in some]
+        found = F.array_compact(F.array(*literals)) if literals else F.array().cast("array<struct<ids:array<bigint>,n:int>>")
+        part = folded.select(key, F.explode(found).alias("f")).select(key, F.explode("f.ids").alias("term_id"), F.col("f.n").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
 

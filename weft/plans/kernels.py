@@ -289,20 +289,21 @@ def alpha_labels(spark, folder):
 
 
 _RANGES = "(VALUES (0, '', 'r', 1), (10, '', 'D', 1), (60, 'A-', 'A', 5), (120, 'Cover', '', 1)) AS r(first, prefix, style, number)"
-_LABELLED = f"""(SELECT page, prefix, style, greatest(number + page - first, 1) AS n FROM (SELECT DISTINCT p_partkey - 1 AS page FROM part WHERE p_partkey <= 200)
+_LABELLED = f"""(SELECT page, prefix, style, greatest(number + page - first, 1) AS n FROM (SELECT DISTINCT p_partkey AS page FROM part)
                 ASOF JOIN {_RANGES} ON page >= first)"""
 _LABEL = f"concat(prefix, CASE style WHEN 'D' THEN CAST(n AS VARCHAR) WHEN 'r' THEN lower({_ROMAN_SQL}) WHEN 'A' THEN {_ALPHA} ELSE '' END)"
 
 
 def _labels(spark, folder):
-    """Pages take the last label range that starts at or before them."""
-    ranges = spark.createDataFrame([(0, "", "r", 1), (10, "", "D", 1), (60, "A-", "A", 5), (120, "Cover", "", 1)], "first long, prefix string, style string, number int")
-    from pyspark.sql import Window
+    """Pages take the last label range that starts at or before them.
 
-    bounded = ranges.withColumn("next", F.lead("first").over(Window.orderBy("first")))  # one row a range
-    pages = read_table(spark, folder, "part").where("p_partkey <= 200").select((F.col("p_partkey") - 1).alias("page")).distinct()
-    found = pages.join(bounded, (F.col("page") >= F.col("first")) & (F.col("next").isNull() | (F.col("page") < F.col("next"))))
-    return found.select("page", T.page_label(F.col("prefix"), F.col("style"), F.col("number"), F.col("page") - F.col("first")).alias("label"))
+    Ranges are few: each page counts those that start by then, and reads the last of them from a literal list.
+    """
+    ranges = [(0, "", "r", 1), (10, "", "D", 1), (60, "A-", "A", 5), (120, "Cover", "", 1)]
+    pages = read_table(spark, folder, "part").select(F.col("p_partkey").alias("page")).distinct()
+    listed = F.array(*[F.struct(F.lit(first).alias("first"), F.lit(prefix).alias("prefix"), F.lit(style).alias("style"), F.lit(number).alias("number")) for first, prefix, style, number in ranges])
+    found = pages.withColumn("r", F.get(listed, numeric.segment(F.col("page"), [r[0] for r in ranges]) - 1)).where("r is not null")
+    return found.select("page", T.page_label(F.col("r.prefix"), F.col("r.style"), F.col("r.number"), F.col("page") - F.col("r.first")).alias("label"))
 
 
 @query("page_labels", f"SELECT page, {_LABEL} AS label FROM {_LABELLED}")
@@ -318,11 +319,11 @@ def label_to_page(spark, folder):
 @query(
     "page_spec_expand",
     """SELECT p_partkey, CAST(page AS INTEGER) AS page FROM (
-           SELECT p_partkey, unnest(list_concat(range(p_size, p_size + 4), [CAST(7 AS BIGINT), CAST(7 AS BIGINT)])) AS page FROM part WHERE p_partkey <= 300)""",
+           SELECT p_partkey, unnest(list_concat(range(p_size, p_size + 4), [CAST(7 AS BIGINT), CAST(7 AS BIGINT)])) AS page FROM part)""",
 )
 def page_spec_expand(spark, folder):
     spec = F.format_string("%d-%d, 7,,7", F.col("p_size"), F.col("p_size") + 3)
-    return read_table(spark, folder, "part").where("p_partkey <= 300").select("p_partkey", F.explode(page_spec(spec)).alias("page"))
+    return read_table(spark, folder, "part").select("p_partkey", F.explode(page_spec(spec)).alias("page"))
 
 
 @query(
