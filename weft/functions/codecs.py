@@ -86,6 +86,11 @@ def lzw(data: bytes, early: bool = True) -> bytes:
 FILTERS: dict[str, Callable[[bytes], bytes]] = {"ASCIIHexDecode": ascii_hex, "ASCII85Decode": ascii_85, "RunLengthDecode": run_length, "FlateDecode": flate, "LZWDecode": lzw}
 
 
+def register_filter(name: str, decode: Callable[[bytes], bytes]) -> None:
+    """A decoder for streams of a filter name, in place of one that has it."""
+    FILTERS[name] = decode
+
+
 def png_unpredict(data: bytes, columns: int, pixel: int) -> bytes:
     """Rows of a filter byte and ``columns * pixel`` bytes: None, Sub, Up, Average, Paeth."""
     width = columns * pixel

@@ -79,3 +79,37 @@ def apply_mask(pixels: DataFrame, mask: DataFrame, size: tuple[int, int], mask_s
 def composite_stack(layers: Column, backdrop: Column) -> Column:
     """Fold of array<struct<v, alpha>> layers, bottom first, over one backdrop channel."""
     return F.aggregate(layers, backdrop.cast("int"), lambda below, top: div255(top["v"] * top["alpha"] + below * (255 - top["alpha"])).cast("int"))
+
+
+def soft_mask(alpha: Column, luminosity: Column) -> Column:
+    """Alpha of a pixel under a group's luminosity, bytes."""
+    return div255(alpha * luminosity).cast("int")
+
+
+def triangle(x: Column, y: Column, corners: Sequence[tuple[float, float]], colors: Sequence[Sequence[float]]) -> list[Column]:
+    """Gouraud shading: corner colours mixed by the areas that the point cuts off; null outside the triangle."""
+    (x0, y0), (x1, y1), (x2, y2) = corners
+    area = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
+    if area == 0:
+        return [F.lit(None).cast("double") for _ in colors[0]]
+    b = ((x - x0) * (y2 - y0) - (y - y0) * (x2 - x0)) / area
+    c = ((y - y0) * (x1 - x0) - (x - x0) * (y1 - y0)) / area
+    inside = (b >= 0) & (c >= 0) & (b + c <= 1)
+    return [F.when(inside, p + b * (q - p) + c * (r - p)) for p, q, r in zip(*colors)]
+
+
+def enlarge(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int], channels: Sequence[str]) -> DataFrame:
+    """Bilinear scaling up of (x, y, channels).
+
+    A pixel goes to the target pixels whose place, scaled back, lies less than one pixel away, with the product of what is left of the distances as weight; the last row and column reach to the edge.
+    """
+
+    def places(at: str, n: int, m: int) -> Column:
+        step = n / m
+        lo, hi = F.greatest(F.ceil((F.col(at) - 1) / step), F.lit(0)), F.least(F.floor((F.col(at) + 1) / step), F.lit(m - 1))
+        weight = lambda t: F.greatest(F.lit(0.0), F.when((F.col(at) == n - 1) & (t * step > n - 1), 1.0).otherwise(1.0 - F.abs(t * step - F.col(at))))
+        return F.filter(F.transform(F.sequence(lo, hi), lambda t: F.struct(t.alias("t"), weight(t).alias("w"))), lambda s: s["w"] > 0)
+
+    rows = pixels.withColumn("_x", F.explode(places("x", size[0], target[0]))).withColumn("_y", F.explode(places("y", size[1], target[1])))
+    weight = F.col("_x.w") * F.col("_y.w")
+    return rows.groupBy(F.col("_x.t").alias("x"), F.col("_y.t").alias("y")).agg(*[F.floor(F.sum(F.col(c) * weight) + 1e-9).cast("int").alias(c) for c in channels])

@@ -76,6 +76,25 @@ def base_font_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"^/", ""), r"^[A-Z]{6}\+", "")
 
 
+#: Glyph names of the ASCII characters that are no letters, in order of their codes; a letter is its own name.
+GLYPHS = (
+    "space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash "
+    "zero one two three four five six seven eight nine colon semicolon less equal greater question at "
+    "bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde"
+).split()
+_GLYPH_CODES = [*range(32, 65), *range(91, 97), *range(123, 127)]
+
+
+def glyph_text(name: Column) -> Column:
+    """The character of a glyph name: a name of ASCII, ``uniXXXX`` or ``uXXXX`` to ``uXXXXXX``; a suffix behind a dot is left out; null for others."""
+    base = F.regexp_replace(name, r"(?<=.)\..*$", "")
+    known = F.create_map(*[F.lit(x) for n, c in zip(GLYPHS, _GLYPH_CODES) for x in (n, chr(c))], F.lit("quoteright"), F.lit("'"))
+    digits = F.coalesce(F.nullif(F.regexp_extract(base, r"^uni([0-9A-F]{4})$", 1), F.lit("")), F.nullif(F.regexp_extract(base, r"^u([0-9A-F]{4,6})$", 1), F.lit("")))
+    code = F.conv(digits, 16, 10).cast("int")
+    wide = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+    return F.nullif(map_symbols(F.coalesce(F.when(base.rlike("^[A-Za-z]$"), base), F.try_element_at(known, base), wide)), F.lit(""))
+
+
 def decode_text(raw: Column) -> Column:
     """UTF-16 with a byte order mark, else UTF-8 if valid, else one character a byte."""
     return F.when(F.hex(F.substring(raw, 1, 2)) == "FEFF", F.decode(F.substring(raw, 3, 1 << 30), "UTF-16BE")).when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.functions import color, crypto, numeric
+from weft.functions import color, crypto, numeric, raster
 from weft.functions import text as T
 from weft.functions.postscript import compile_program
 from weft.operators import pages as P
@@ -12,7 +12,7 @@ from weft.operators import pixels, search
 from weft.plans.registry import query
 from weft.plans.reports import _ROWS, _rows
 from weft.plans.texts import _SPANS, _starts
-from weft.sources import objects, read_table
+from weft.sources import objects, read_table, reports
 
 # --- search results ---
 
@@ -359,3 +359,55 @@ def parity_summary(spark, folder):
     from weft.operators.reports import markdown_summary
 
     return markdown_summary(_rows(spark, folder), 95.0, F.col("page") > 2, F.col("similarity") >= 95, F.col("error"))
+
+
+@query("glyph_names", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN chr(CAST(65 + p_partkey % 26 AS INTEGER)) WHEN 1 THEN '[' WHEN 2 THEN chr(CAST(1024 + p_partkey % 200 AS INTEGER)) WHEN 3 THEN '😀' END AS text FROM part")
+def glyph_names(spark, folder):
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, F.char(65 + k % 26)).when(k % 5 == 1, F.lit("bracketleft.alt")).when(k % 5 == 2, F.format_string("uni%04X", 1024 + k % 200)).when(k % 5 == 3, F.lit("u1F600")).otherwise(F.lit("nothing"))
+    return read_table(spark, folder, "part").select("p_partkey", T.glyph_text(name).alias("text"))
+
+
+@query("rdf_properties", "SELECT c_custkey, c_name || ' & co' AS title, c_mktsegment || '|' || c_nationkey AS creators, '3' AS pages FROM customer")
+def rdf_properties(spark, folder):
+    xml = F.concat(
+        F.lit('<x:xmpmeta><rdf:RDF><rdf:Description about=""><dc:Title>old</dc:Title><dc:Title>\n<rdf:Alt><rdf:li xml:lang="x">'), "c_name", F.lit(" &amp; co</rdf:li></rdf:Alt> </dc:Title><pdf:Pages>3</pdf:Pages></rdf:Description><rdf:Description><dc:creator><rdf:Seq><rdf:li>"),
+        "c_mktsegment", F.lit("</rdf:li>\n<rdf:li>"), F.col("c_nationkey").cast("string"), F.lit("</rdf:li></rdf:Seq></dc:creator></rdf:Description></rdf:RDF></x:xmpmeta>"),
+    )
+    found = read_table(spark, folder, "customer").select("c_custkey", reports.rdf_properties(xml).alias("m"))
+    value = lambda name: F.array_join(F.try_element_at("m", F.lit(name)), "|")
+    return found.select("c_custkey", value("dc:title").alias("title"), value("dc:creator").alias("creators"), value("pdf:pages").alias("pages"))
+
+
+@query("annotations_by_type", "SELECT event_id, user_id FROM events WHERE event_type = 'click'")
+def annotations_by_type(spark, folder):
+    return reports.annotations(read_table(spark, folder, "events"), kind="click", kind_column="event_type").select("event_id", "user_id")
+
+
+_TRIANGLE = "SELECT *, ((x - 10) * 60 - (y - 5) * 20) / 4600.0::DOUBLE AS b, ((y - 5) * 80 - (x - 10) * 10) / 4600.0::DOUBLE AS c FROM (SELECT p_partkey, p_partkey % 100 AS x, p_size + p_partkey % 40 AS y FROM part)"
+
+
+@query("triangle_shading", f"SELECT p_partkey, round(CASE WHEN b >= 0 AND c >= 0 AND b + c <= 1 THEN 10 + b * 190 + c * 40 END, 6) AS v FROM ({_TRIANGLE})")
+def triangle_shading(spark, folder):
+    k = F.col("p_partkey")
+    v = raster.triangle(k % 100, F.col("p_size") + k % 40, ((10.0, 5.0), (90.0, 15.0), (30.0, 65.0)), ((10.0,), (200.0,), (50.0,)))[0]
+    return read_table(spark, folder, "part").select("p_partkey", F.round(v, 6).alias("v"))
+
+
+@query("soft_mask", "SELECT p_partkey, CAST((v + (v >> 8) + 128) >> 8 AS INTEGER) AS alpha FROM (SELECT p_partkey, p_partkey * 37 % 256 * (p_size * 5) AS v FROM part)")
+def soft_mask(spark, folder):
+    return read_table(spark, folder, "part").select("p_partkey", raster.soft_mask((F.col("p_partkey") * 37 % 256).cast("int"), (F.col("p_size") * 5).cast("int")).alias("alpha"))
+
+
+@query(
+    "enlarge_bilinear",
+    """WITH p AS (SELECT n_nationkey % 5 AS x, n_nationkey // 5 AS y, n_nationkey * 37 % 256 AS v FROM nation),
+            t AS (SELECT x, y, x * (5 / 12.0::DOUBLE) AS u, y * 0.5::DOUBLE AS w FROM range(12) a(x), range(10) b(y)),
+            c AS (SELECT t.x, t.y, u - floor(u) AS f, w - floor(w) AS g, least(floor(u), 4) AS x0, least(floor(u) + 1, 4) AS x1, least(floor(w), 4) AS y0, least(floor(w) + 1, 4) AS y1 FROM t)
+       SELECT c.x, c.y, CAST(floor(a.v * (1 - f) * (1 - g) + b.v * f * (1 - g) + d.v * (1 - f) * g + e.v * f * g + 1e-9) AS INTEGER) AS v FROM c
+       JOIN p a ON a.x = x0 AND a.y = y0 JOIN p b ON b.x = x1 AND b.y = y0 JOIN p d ON d.x = x0 AND d.y = y1 JOIN p e ON e.x = x1 AND e.y = y1""",
+)
+def enlarge_bilinear(spark, folder):
+    k = F.col("n_nationkey")
+    pixels = read_table(spark, folder, "nation").select((k % 5).cast("long").alias("x"), F.floor(k / 5).alias("y"), (k * 37 % 256).alias("v"))
+    return raster.enlarge(pixels, (5, 5), (12, 10), ["v"]).select(F.col("x").cast("long"), F.col("y").cast("long"), "v")

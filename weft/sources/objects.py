@@ -55,7 +55,7 @@ def _raised(raw: Column, by: Column) -> Column:
     n = F.length(raw)
     unit = F.conv(F.hex(F.substring(raw, n - 1, F.lit(2))), 16, 10).cast("bigint")
     pair = F.concat(F.substring(raw, F.lit(1), n - 2), F.unhex(F.lpad(F.hex(F.pmod(unit + by, F.lit(65536))), 4, "0")))
-    single = F.decode(F.unhex(F.lpad(F.hex(F.conv(F.hex(raw), 16, 10).cast("bigint") + by), 8, "0")), "UTF-32BE")
+    single = F.decode(F.unhex(F.lpad(F.hex(F.conv(F.hex(raw), 16, 10).cast("bigint") + by), 8, "0")), "UTF-32")
     return F.when(n == 0, F.lit("")).when(n % 2 == 0, F.decode(pair, "UTF-16BE")).when(n <= 4, single).otherwise(_unicode(raw))
 
 

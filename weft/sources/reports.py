@@ -95,3 +95,34 @@ def form_fields_xfdf(xml: Column) -> Column:
     """Form data: (dotted name, values) of every field that has a value, at up to two levels."""
     block = F.regexp_extract_all(xml, F.lit(r"(?s)(<field\s+name=\"[^\"]*\"[^>]*>\s*(?:<value>.*?</value>\s*)+)"), 1)
     return F.transform(block, lambda b: F.struct(F.regexp_extract(b, r'name="([^"]*)"', 1).alias("name"), F.regexp_extract_all(b, F.lit(r"(?s)<value>(.*?)</value>"), 1).alias("values")))
+
+
+#: Properties that are lists.
+LISTS = ("dc:creator", "dc:subject")
+
+
+def rdf_properties(xml: Column) -> Column:
+    """map<name, array of values> of the properties of all descriptions; names in lower case, a later one of a name wins.
+
+    Lists give their items, other properties their trimmed text, entities resolved.
+    """
+    body = F.array_join(F.regexp_extract_all(xml, F.lit(r"(?is)<rdf:Description\b[^>/]*>(.*?)</rdf:Description>"), 1), "")
+    entries = F.regexp_extract_all(body, F.lit(r"(?s)(<([A-Za-z][\w:.-]*)\b[^>]*>.*?</\2>)"), 1)
+
+    def plain(x: Column) -> Column:
+        return F.regexp_replace(resolve_entities(F.regexp_replace(x, r"(?s)<[^>]*>", "")), r"^\s+|\s+$", "")
+
+    def one(e: Column) -> Column:
+        name = F.lower(F.regexp_extract(e, r"^<([A-Za-z][\w:.-]*)", 1))
+        items = F.transform(F.regexp_extract_all(e, F.lit(r"(?is)<rdf:li\b[^>]*>(.*?)</rdf:li>"), 1), plain)
+        return F.struct(name.alias("key"), F.when(name.isin(*LISTS), items).otherwise(F.array(plain(e))).alias("value"))
+
+    found = F.transform(entries, one)
+    last = F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
+def annotations(rows: DataFrame, identity: str | None = None, kind: str | None = None, id_column: str = "id", kind_column: str = "kind") -> DataFrame:
+    """Annotations of an id or a type, or both."""
+    out = rows if identity is None else rows.where(F.col(id_column) == identity)
+    return out if kind is None else out.where(F.col(kind_column) == kind)
