@@ -248,12 +248,6 @@ SEPARABLE = {
 }
 
 
-def _let(values: Sequence[Column], use) -> list[Column]:
-    """``use`` of three values, each computed once however often it stands in the result."""
-    bound = F.transform(F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])), lambda x: F.struct(*[c.alias(f"v{i}") for i, c in enumerate(use([x[f"v{i}"] for i in range(len(values))]))]))
-    return [bound[0][f"v{i}"] for i in range(3)]
-
-
 def _lum(c: Sequence[Column]) -> Column:
     return c[0] * 0.3 + c[1] * 0.59 + c[2] * 0.11
 
@@ -268,15 +262,15 @@ def _set_sat(c: Sequence[Column], s: Column) -> list[Column]:
     return [F.when(span > 0, (v - low) * s / span).otherwise(F.lit(0.0)) for v in c]
 
 
-def _shift(c: Sequence[Column], level: Column) -> list[Column]:
-    return [v + (level - _lum(c)) for v in c]
+def _at_level(c: Sequence[Column], level: Column) -> list[Column]:
+    """The colour moved to a luminance, and pulled towards it until no channel is out of 0..1.
 
-
-def _into_range(c: Sequence[Column]) -> list[Column]:
-    """Pull a colour towards its luminance until no channel is out of 0..1."""
+    A shift moves a colour's luminance to ``level`` and keeps its channels' distances from it, so both pulls are factors of these distances.
+    """
     middle, low, high = _lum(c), F.least(*c), F.greatest(*c)
-    under = [F.when(low < 0, F.when(middle == low, middle).otherwise(middle + (v - middle) * middle / (middle - low))).otherwise(v) for v in c]
-    return [F.when(high > 1, F.when(high == middle, middle).otherwise(middle + (v - middle) * (1 - middle) / (high - middle))).otherwise(v) for v in under]
+    below = F.when(low + level - middle < 0, F.when(middle == low, F.lit(0.0)).otherwise(level / (middle - low))).otherwise(F.lit(1.0))
+    above = F.when(high + level - middle > 1, F.when(high == middle, F.lit(0.0)).otherwise((1 - level) / (high - middle))).otherwise(F.lit(1.0))
+    return [level + (v - middle) * below * above for v in c]
 
 
 #: colour whose channels are kept, colour that gives the saturation (or none), colour that gives the luminance
@@ -286,8 +280,7 @@ NON_SEPARABLE = {"hue": ("s", "d", "d"), "saturation": ("d", "s", "d"), "color":
 def _non_separable(mode: str, s: Sequence[Column], d: Sequence[Column]) -> list[Column]:
     colour, spread, level = ({"s": s, "d": d}.get(x) for x in NON_SEPARABLE[mode])
     start = _set_sat(colour, _sat(spread)) if spread is not None else list(colour)
-    moved = _let([*start, _lum(level)], lambda v: _shift(v[:3], v[3]))
-    return _let(moved, _into_range)
+    return _at_level(start, _lum(level))
 
 
 def blend(mode: str, source: Sequence[Column], backdrop: Sequence[Column]) -> list[Column]:
