@@ -133,3 +133,19 @@ def test_search_progress(spark, tmp_path):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.streams.removeListener(progress)
     assert sorted(found) == [0, 1, 2] and progress.pages == 6 and ended == [True]
+
+
+def test_glyph_names(spark):
+    names = ["A", "z", "quoteright", "quotesingle", "grave", "space", "asciitilde", "bracketleft.alt", "uni00E9", "u1F600", "uniD800", "uniF8E9", "uniFFFC", "nothing", "", None, ".notdef"]
+    got = [r["t"] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(T.glyph_text(F.col("n")).alias("t")).collect()]
+    assert got == ["A", "z", "'", "'", "`", " ", "~", "[", "é", "😀", None, "©", None, None, None, None, None]
+
+
+def test_filter_registry(spark):
+    from weft.functions import codecs
+
+    codecs.register_filter("Mirror", lambda data: data[::-1])
+    try:
+        assert bytes(one(spark, codecs.decode(F.lit("abc").cast("binary"), "Mirror"))[0]) == b"cba"
+    finally:
+        del codecs.FILTERS["Mirror"]
