@@ -42,7 +42,10 @@ def limit_matches(matches: DataFrame, per_page: int, total: int, key: str = "doc
     return matches.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= per_page).drop("_r").orderBy(key, "start").limit(total)
 
 
-def with_context(matches: DataFrame, pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_context(matches: DataFrame, pages: DataFrame, key: str = "doc_id", text: str = "text", query: str | None = None) -> DataFrame:
+    """Matches with their text and its surroundings; given the ``query``, only the texts that hold it are joined.  Keys are of one page each."""
+    if query is not None:
+        pages = pages.where(fold(F.col(text)).contains(fold_literal(query.strip())))
     joined = matches.join(pages.select(key, text), key)
     return joined.select(key, "start", "end", F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("match"), context(F.col(text), F.col("start"), F.col("end")).alias("context"))
 

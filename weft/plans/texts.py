@@ -68,7 +68,7 @@ _SPACE = r"[\p{Z}\t\n\x{0B}\f\r\x{85}]+"
 )
 def search_context(spark, folder):
     docs = read_table(spark, folder, "documents")
-    return search.with_context(search.find_matches(docs, "stupid"), docs)
+    return search.with_context(search.find_matches(docs, "stupid"), docs, query="stupid")
 
 
 @query(
