@@ -8,20 +8,26 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL = 100_000  # rows of numbers that may be broadcast
 
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset (local mode, tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="llm-stages-"))
     return _OWN[0]
@@ -63,5 +69,10 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, a few columns of a written table, marked for broadcast if it is counted to have ``rows`` rows at most."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
