@@ -194,9 +194,25 @@ def diff_runs(spark, folder):
     return layout.diff_runs(read_table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")
 
 
-@query("text_lines")
+@query(
+    "text_lines",
+    """WITH RECURSIVE i AS (
+           SELECT page, row_number() OVER (PARTITION BY page ORDER BY y DESC, x, seq) AS k, x, y, text
+           FROM (SELECT user_id AS page, event_id AS seq, CAST(event_id * 7 % 500 AS DOUBLE) AS x, CAST(value * 4 % 300 AS DOUBLE) AS y, event_type AS text FROM events WHERE trim(event_type) <> '')),
+       s AS (
+           SELECT page, k, [y] AS means, [1] AS ns, CAST(1 AS BIGINT) AS line FROM i WHERE k = 1
+           UNION ALL
+           SELECT page, k, CASE WHEN near THEN list_concat(list_concat(means[1:b - 1], [(means[b] * ns[b] + y) / (ns[b] + 1)]), means[b + 1:]) ELSE list_append(means, y) END,
+                  CASE WHEN near THEN list_concat(list_concat(ns[1:b - 1], [ns[b] + 1]), ns[b + 1:]) ELSE list_append(ns, 1) END, CAST(CASE WHEN near THEN b ELSE len(means) + 1 END AS BIGINT)
+           FROM (SELECT page, k, means, ns, y, list_position(gaps, list_min(gaps)) AS b, list_min(gaps) <= 3.0 AS near
+                 FROM (SELECT s.page, i.k, means, ns, i.y, list_transform(means, lambda m: abs(i.y - m)) AS gaps FROM s JOIN i ON s.page = i.page AND i.k = s.k + 1))),
+       ends AS (SELECT page, arg_max(means, k) AS means FROM s GROUP BY page),
+       parts AS (SELECT s.page, s.line, x, text, CASE WHEN x - lag(x + 6) OVER (PARTITION BY s.page, s.line ORDER BY x, text) > 1.5 THEN ' ' ELSE '' END || text AS part FROM s JOIN i ON s.page = i.page AND s.k = i.k),
+       lines AS (SELECT p.page, any_value(means[p.line]) AS y, string_agg(part, '' ORDER BY x, text) AS text, CAST(count(*) AS INTEGER) AS items FROM parts p JOIN ends ON p.page = ends.page GROUP BY p.page, p.line)
+       SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y DESC, text) - 1 AS INTEGER) AS line, y, text, items FROM lines""",
+)
 def text_lines(spark, folder):
-    """Greedy clustering depends on the order of items: no SQL."""
+    """Greedy clustering depends on the order of items: pages run one by one, the SQL by recursion."""
     events = read_table(spark, folder, "events")
     return layout.text_lines(events.select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 500).alias("x"), (F.col("value") * 4 % 300).alias("y"), F.lit(6.0).alias("width"), F.col("event_type").alias("text")))
 
