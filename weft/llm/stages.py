@@ -33,16 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    def drop() -> None:
-        try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # the session has ended: whoever owns the shared folder cleans it
-            pass
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the session has ended: whoever owns the shared folder cleans it
+        pass
 
-    atexit.register(drop)
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``stage`` that no later pass reads."""
+    for df in tables:
+        path = getattr(df, "_staged", None)
+        if path is not None:
+            _drop(df.sparkSession, path)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -62,11 +67,13 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    _drop_at_exit(spark, path)
+    atexit.register(_drop, spark, path)
     del df
     if release:
         release_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
+    return out
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
