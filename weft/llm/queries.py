@@ -123,13 +123,26 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, least AS component_id
         FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON d.doc_id = r.a
     """,
+    "op9_suffix_dedup": """
+        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, i, md5_number_upper(substr(h, 2 * i - 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 398)) AS i FROM d)),
+             again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+             marked AS (SELECT doc_id, i, sum(CASE WHEN i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+                        FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM again)),
+             spans AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM marked GROUP BY doc_id, run),
+             kept AS (SELECT s.doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS body, max(z) AS last
+                      FROM (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans) s JOIN d ON s.doc_id = d.doc_id GROUP BY s.doc_id)
+        SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(CASE WHEN last IS NULL THEN h ELSE body || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
     "op4_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
             FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
             FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score

@@ -1,9 +1,10 @@
 """Exact top-k inner products: paged M-trees searched best first.
 
-Vectors are quantised to integers, so scores are exact.  Routing pivots are
-fitted on a bounded sample (``SAMPLE`` rows); every vector is indexed: it goes to
-the page of its nearest pivot, and a pivot's rows are dealt over as many pages
-as their number needs, so a hot vector is many pages.  Each page is an M-tree:
+Vectors are quantised to integers, so scores are exact, as long as they fit 63 bits.
+Routing pivots are fitted on a bounded sample (``SAMPLE`` rows), one for each page that
+the rows need, up to ``PIVOTS``; every vector is indexed: it goes to the page of its
+nearest pivot, and a pivot's rows are dealt over as many pages as their number needs,
+so a hot vector is many pages.  Each page is an M-tree:
 nodes with a routing vector, a covering radius, the distance to the parent's
 routing vector, and the smallest id below.
 
@@ -16,11 +17,12 @@ larger than the k-th id.  Queries first search a page of their
 nearest pivot, and take the k-th score found there to all other pages.
 
 Queries travel in groups of ``QUERY_GROUP``, pages in trees of ``PAGE_ROWS``; a
-task holds one of each.
+task holds one of each.  A page's tree is sent to the groups that may find a better
+score in it; which those are is computed for blocks of ``BOUND_GROUP`` queries.
 
 Defined cases: rows whose vector is null, or holds a null or a non-finite
-component, or whose id is null, take no part; a shorter vector counts as padded
-with zeros; rows that repeat an id are candidates each (never for a query of the
+component, or whose id is null, take no part; a shorter vector, an empty one too, counts
+as padded with zeros; rows that repeat an id are candidates each (never for a query of the
 same id); an empty table gives no rows; other columns are ignored.
 """
 
@@ -36,12 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.stages import stage
+from weft.llm.stages import forget, stage
 
 SAMPLE = 4096
-PIVOTS = 48
+PIVOTS = 512  # at most; one a page, as long as there are fewer
 PAGE_ROWS = 8192
-QUERY_GROUP = 4096
+QUERY_GROUP = 4096  # queries that search a page together
+BOUND_GROUP = 512  # queries whose bounds on all pages one task computes
+EXACT = 2.0**52  # below this, sums of floats are exact
+NONE, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 FANOUT, LEAF = 16, 48
 
 
@@ -54,14 +59,16 @@ def quantised(vector: Column) -> Column:
 
 def matrix(lists: list, width: int | None = None) -> np.ndarray:
     width = max((len(v) for v in lists), default=0) if width is None else width
-    out = np.zeros((len(lists), max(width, 1)))
+    out = np.zeros((len(lists), max(width, 1)), np.int64)
     for i, v in enumerate(lists):
-        out[i, : len(v)] = v
+        part = v[: out.shape[1]]
+        out[i, : len(part)] = part
     return out
 
 
 def _spread(points: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first pivots, from the point nearest the centre; duplicates end it."""
+    points = points.astype(float)
     first = int(((points - points.mean(0)) ** 2).sum(1).argmin())
     chosen = [first]
     far = ((points - points[first]) ** 2).sum(1)
@@ -72,23 +79,28 @@ def _spread(points: np.ndarray, n: int) -> np.ndarray:
 
 
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Exact squared distances of integer vectors (all values are integers below 2**53)."""
+    points, pivots = points.astype(float), pivots.astype(float)
     return (points**2).sum(1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(1)[None, :]
 
 
 class MTree:
-    """nodes: (centre, radius, min id, children or None, lo, hi); a leaf's rows are lo..hi."""
+    """nodes: (centre, radius, min id, children or None, lo, hi); a leaf's rows are lo..hi.
+
+    Geometry is in floats; ``whole`` are the points as integers.
+    """
 
     def __init__(self, points: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.points, self.ids = points[order], ids[order]
+        self.whole, self.ids = points[order].astype(np.int64), ids[order]
+        self.points = self.whole.astype(float)
         self.rows = np.arange(len(ids))
         self.to_parent = np.zeros(len(ids))
         self.nodes: list[tuple] = []
         self._out: list[np.ndarray] = []
         self.root = self._build(self.rows, None)
         self.rows = np.concatenate(self._out) if self._out else self.rows
-        self.points, self.ids, self.to_parent = self.points[self.rows], self.ids[self.rows], self.to_parent[self.rows]
+        self.whole, self.ids, self.to_parent = self.whole[self.rows], self.ids[self.rows], self.to_parent[self.rows]
+        self.points = self.whole.astype(float)
         del self._out
 
     def _build(self, rows: np.ndarray, centre: np.ndarray | None) -> int:
@@ -126,65 +138,70 @@ class MTree:
         return at
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.points, self.ids, self.to_parent, self.nodes, self.root), protocol=5)
+        return pickle.dumps((self.whole, self.ids, self.to_parent, self.nodes, self.root), protocol=5)
 
     @classmethod
     def load(cls, page: bytes) -> MTree:
         tree = cls.__new__(cls)
-        tree.points, tree.ids, tree.to_parent, tree.nodes, tree.root = pickle.loads(page)
+        tree.whole, tree.ids, tree.to_parent, tree.nodes, tree.root = pickle.loads(page)
+        tree.points = tree.whole.astype(float)
         return tree
 
     _filled = 0  # rows put into leaves so far
 
-    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, floor_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(scores, ids, inner products computed): k columns a query, -inf where there are fewer.
+    def search(self, whole: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, floor_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(scores, ids, inner products computed): k columns a query, NONE where there are fewer.
 
         A block of queries goes down the tree together: the node whose bound is
         highest for any query comes first, and only the queries whose own bound
         still reaches their k-th score take part in it.  ``floor``/``floor_id``: a
-        k-th result each query knows already; ``own``: an id it may not find.
+        k-th result each query knows already (NONE, LAST if it knows none); ``own``: an id it may not find.
+        Bounds are floats with room for rounding; scores are integers, by integer arithmetic where floats may round.
         """
-        m = len(q)
+        m, q = len(whole), whole.astype(float)
         norm = np.sqrt((q * q).sum(1)) * (1 + 1e-12)
-        best, ids = np.full((m, k), -np.inf), np.full((m, k), np.iinfo(np.int64).max)
-        worst, worst_id = floor.astype(float).copy(), floor_id.astype(float).copy()
+        top = float(np.sqrt((self.points**2).sum(1)).max(initial=0.0))
+        exact = float(norm.max(initial=0.0)) * top < EXACT
+        room = 1e-6 + 1e-12 * norm * top * max(1, q.shape[1])
+        best, ids = np.full((m, k), NONE), np.full((m, k), LAST)
+        worst, worst_id = floor.astype(np.int64).copy(), floor_id.astype(np.int64).copy()
         computed, turn = m, 0
-        reach = lambda bound: bound + 1e-6 * (1 + np.abs(bound))  # noqa: E731  what rounding may have taken
         dots = q @ self.nodes[self.root][0]
         bound = dots + norm * self.nodes[self.root][1]
         heap = [(-float(bound.max(initial=-np.inf)), 0, self.root, np.arange(m), dots)]
         while heap:
             _, _, node, act, dots = heapq.heappop(heap)
             _, radius, least, kids, lo, hi = self.nodes[node]
-            live = reach(dots + norm[act] * radius) >= worst[act]
-            if radius == 0:  # nothing here scores higher than its centre, and ties lose to smaller ids
+            live = dots + norm[act] * radius + room[act] >= worst[act]
+            if radius == 0 and exact:  # nothing here scores higher than its centre, and ties lose to smaller ids
                 live &= ~((dots == worst[act]) & (least > worst_id[act]))
             act, dots = act[live], dots[live]
             if not len(act):
                 continue
             if kids is None:
-                near = reach(dots[:, None] + norm[act][:, None] * self.to_parent[None, lo:hi]) >= worst[act][:, None]
+                near = (dots + room[act])[:, None] + norm[act][:, None] * self.to_parent[None, lo:hi] >= worst[act][:, None]
                 cols = np.flatnonzero(near.any(0))
                 if not len(cols):
                     continue
                 computed += int(near.sum())
-                score = np.where(near[:, cols], q[act] @ self.points[lo:hi][cols].T, -np.inf)
                 found = self.ids[lo:hi][cols]
-                score[found[None, :] == own[act][:, None]] = -np.inf
-                some = np.flatnonzero((score >= worst[act][:, None]).any(1) & np.isfinite(score).any(1))
+                score = np.rint(q[act] @ self.points[lo:hi][cols].T).astype(np.int64) if exact else whole[act] @ self.whole[lo:hi][cols].T
+                able = near[:, cols] & (found[None, :] != own[act][:, None])
+                score = np.where(able, score, NONE)
+                some = np.flatnonzero((able & (score >= worst[act][:, None])).any(1))
                 if not len(some):
                     continue
                 rows = act[some]
                 all_scores = np.hstack([best[rows], score[some]])
-                all_ids = np.hstack([ids[rows], np.where(np.isfinite(score[some]), found[None, :], np.iinfo(np.int64).max)])
-                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+                all_ids = np.hstack([ids[rows], np.where(able[some], found[None, :], LAST)])
+                order = np.lexsort((all_ids, np.invert(all_scores)), axis=1)[:, :k]  # ~x falls as x grows, without overflow
                 best[rows], ids[rows] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
-                last, last_id = best[rows, k - 1], ids[rows, k - 1].astype(float)
+                last, last_id = best[rows, k - 1], ids[rows, k - 1]
                 higher = (last > worst[rows]) | ((last == worst[rows]) & (last_id < worst_id[rows]))
                 worst[rows[higher]], worst_id[rows[higher]] = last[higher], last_id[higher]
             else:
                 which, centres, to_parent, radii, _ = kids
-                near = reach(dots[:, None] + norm[act][:, None] * (to_parent + radii)[None, :]) >= worst[act][:, None]
+                near = (dots + room[act])[:, None] + norm[act][:, None] * (to_parent + radii)[None, :] >= worst[act][:, None]
                 cols = np.flatnonzero(near.any(0))
                 if not len(cols):
                     continue
@@ -196,7 +213,7 @@ class MTree:
                     high = float((to_child[mine, j] + norm[act[mine]] * radii[c]).max())
                     heapq.heappush(heap, (-high, turn, int(which[c]), act[mine], to_child[mine, j]))
         lost = (best < floor[:, None]) | ((best == floor[:, None]) & (ids >= floor_id[:, None]))
-        best[lost] = -np.inf
+        best[lost] = NONE
         return best, ids, computed
 
 
@@ -213,18 +230,20 @@ def _assign(pivots: np.ndarray):
 def _build_page(pdf: pd.DataFrame) -> pd.DataFrame:
     tree = MTree(matrix(pdf["v"].tolist()), pdf["id"].to_numpy())
     centre, radius = tree.nodes[tree.root][:2]
-    return pd.DataFrame({"page": [int(pdf["page"].iloc[0])], "tree": [tree.dump()], "centre": [list(map(float, centre))], "radius": [radius]})
+    top = float(np.sqrt((tree.points**2).sum(1)).max())
+    return pd.DataFrame({"page": [int(pdf["page"].iloc[0])], "tree": [tree.dump()], "centre": [list(map(float, centre))], "radius": [radius], "top": [top]})
 
 
 def _search(k: int):
     def run(pages: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if len(pages) and len(queries):
             tree = MTree.load(pages["tree"].iloc[0])
-            q = matrix(queries["v"].tolist(), tree.points.shape[1])
+            q = matrix(queries["v"].tolist(), tree.whole.shape[1])
             own = queries["id"].to_numpy()
             best, ids, _ = tree.search(q, own, k, queries["floor"].to_numpy(), queries["floor_id"].to_numpy())
-            row, col = np.nonzero(np.isfinite(best))
-            return pd.DataFrame({"query_id": own[row], "score": best[row, col].astype(np.int64), "vec_id": ids[row, col]})
+            row, col = np.nonzero((best != NONE) | (ids != LAST))
+            row, col = row[ids[row, col] != LAST], col[ids[row, col] != LAST]
+            return pd.DataFrame({"query_id": own[row], "score": best[row, col], "vec_id": ids[row, col]})
         return pd.DataFrame({"query_id": [], "score": [], "vec_id": []}, dtype="int64")
 
     return run
@@ -235,7 +254,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     Query rows that share an id are all asked, and what they find is ranked together, as in the SQL.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), is_query.alias("q")).where("id is not null and v is not null and size(v) > 0")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), is_query.alias("q")).where("id is not null and v is not null")
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     empty = "query_id long, rank int, vec_id long, score long"
     spark = vectors.sparkSession
@@ -252,29 +271,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     start = F.element_at(F.array(*[F.lit(x) for x in first]), F.col("pivot") + 1)
     many = F.element_at(F.array(*[F.lit(max(1, x)) for x in pages_of]), F.col("pivot") + 1)
     paged = dealt.withColumn("page", (start + F.pmod(F.xxhash64("id", F.lit(3)), many)).cast("int"))
-    pages = stage(paged.groupBy("page").applyInPandas(_build_page, "page int, tree binary, centre array<double>, radius double"), "topk-pages")
+    pages = stage(paged.groupBy("page").applyInPandas(_build_page, "page int, tree binary, centre array<double>, radius double, top double"), "topk-pages")
+
+    forget(dealt)
 
     asked = rows.where("q").select("id", "v")
-    groups = max(1, -(-asked.count() // QUERY_GROUP))
+    n_asked = asked.count()
+    groups = max(1, -(-n_asked // QUERY_GROUP))
     group = F.pmod(F.xxhash64("id", "v", F.lit(5)), F.lit(groups)).cast("int")
     homes = asked.mapInArrow(_assign(pivots), "id long, v array<long>, pivot int").select("id", "v", start.cast("int").alias("home"), group.alias("g"))
     homes = stage(homes, "topk-queries")
-    spread = pages.select("page", "tree").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     schema = "query_id long, score long, vec_id long"
 
     def found(queries: DataFrame) -> DataFrame:
         asking = queries.select("id", "v", "floor", "floor_id", F.col("page").alias("to_page"), F.col("g").alias("to_g"))
-        return spread.groupBy("page", "g").cogroup(asking.groupBy("to_page", "to_g")).applyInPandas(_search(k), schema)
+        # a page's tree goes to the groups of queries that search it, and to no others
+        wanted = asking.select(F.col("to_page").alias("page"), F.col("to_g").alias("g")).distinct()
+        trees = pages.select("page", "tree").join(wanted, "page")
+        return trees.groupBy("page", "g").cogroup(asking.groupBy("to_page", "to_g")).applyInPandas(_search(k), schema)
 
-    near = stage(found(homes.select("id", "v", F.col("home").alias("page"), "g", F.lit(float("-inf")).alias("floor"), F.lit(float("inf")).alias("floor_id"))), "topk-near")
+    none, last = F.lit(int(NONE)), F.lit(int(LAST))
+    near = stage(found(homes.select("id", "v", F.col("home").alias("page"), "g", none.alias("floor"), last.alias("floor_id"))), "topk-near")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = near.withColumn("r", F.row_number().over(by)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("floor"), F.col("vec_id").cast("double").alias("floor_id"))
-    # which other pages can hold a better score: queries against the centres of all pages, a page a column of the bound
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    limits = homes.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "home", "g", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.coalesce("floor_id", F.lit(float("inf"))).alias("floor_id"), norm.alias("norm"))
-    rest = pages.select("page", "centre", "radius").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    floors = near.withColumn("r", F.row_number().over(by)).where(F.col("r") == k).select("query_id", F.col("score").alias("floor"), F.col("vec_id").alias("floor_id"))
+    # which other pages can hold a better score: queries, in blocks, against the centres of all pages
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    blocks = max(1, -(-n_asked // BOUND_GROUP))
+    limits = homes.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "home", "g", F.coalesce("floor", none).alias("floor"), F.coalesce("floor_id", last).alias("floor_id"), norm.alias("norm"), F.pmod(F.xxhash64("id", "v", F.lit(9)), F.lit(blocks)).cast("int").alias("block"))
+    rest = pages.select("page", "centre", "radius", "top").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dot = F.aggregate(F.zip_with("v", "centre", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    able = limits.join(rest, "g").where((F.col("page") != F.col("home")) & (dot + F.col("norm") * F.col("radius") * (1 + 1e-9) + 1e-3 >= F.col("floor")))
+    room = 1e-3 + F.col("norm") * (F.col("radius") + F.col("top")) * 1e-9
+    able = limits.join(rest, "block").where((F.col("page") != F.col("home")) & (dot + F.col("norm") * F.col("radius") + room >= F.col("floor")))
     far = found(able.select("id", "v", "page", "g", "floor", "floor_id"))
     best = near.unionByName(far).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
