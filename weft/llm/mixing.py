@@ -10,9 +10,9 @@ undecided (flight).  The undecided of all blocks meet in blocks again, round by
 round; a source's last block keeps ten documents back, and the landing picks,
 of all samples of those still undecided, one nearest to the balance.
 
-Blocks are hash-dealt within a source, so a hot source is many blocks and no
-task holds more than a block.  The seed and the document's key decide every
-draw, so reruns agree.
+Blocks are dealt within a source by a hash of the whole row, and of its number among
+equal rows, so a hot source or key is many blocks and no task holds more than a block.
+The seed and the rows decide every draw, so reruns agree.
 
 Defined cases: null or empty text has size 0 and is taken 0 times; a null source
 is a source of its own, last in order; repeated rows are decided one by one; a
@@ -118,7 +118,7 @@ def decide(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: bool
 
 def _fly(last: bool, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_key", "size", "_tie", "_tie2"], kind="stable")
+        pdf = pdf.sort_values(["_key", "size", "_tie", "_tie2", "_turn"], kind="stable")
         rng = np.random.default_rng([seed, int(pdf["_block"].iloc[0]) & 0xFFFFFFFF, int(pdf["_round"].iloc[0])])
         pdf["_p"] = decide(pdf["_p"].to_numpy(), pdf["size"].to_numpy(), rng, last)
         return pdf
@@ -135,6 +135,8 @@ def _row_id(docs: DataFrame) -> list[Column]:
 def _decided(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, block: int = BLOCK) -> DataFrame:
     """One row a document: _tie, _tie2 (its row id), _key, source, size, source_size, target, copies."""
     sized = stage(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *_row_id(docs)), "mix-sizes")
+    # equal rows get a number each, so that no block holds all rows of a hot key, or all equal rows
+    numbered = sized.groupBy("_tie", "_tie2", "_key", "source", "size").count().withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count")))).drop("count")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = stage(source_targets(sizes.drop("_rows"), weights, cap), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -143,10 +145,10 @@ def _decided(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = C
         F.col("source").alias("_s"), "source_size", "target", ratio.alias("_ratio"), F.greatest(F.lit(1), F.ceil(F.col("_rows") / block)).cast("long").alias("_blocks")
     )
     plan = plan.withColumn("_sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "_s"), F.lit("n"))))
-    units = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "_key", "_tie", "_tie2", "source", "size", "source_size", "target", "_sid", "_blocks", F.floor("_ratio").cast("long").alias("_whole"), F.when(F.col("size") > 0, F.col("_ratio") - F.floor("_ratio")).otherwise(F.lit(0.0)).alias("_p")
+    units = numbered.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select(
+        "_key", "_tie", "_tie2", "_turn", "source", "size", "source_size", "target", "_sid", "_blocks", F.floor("_ratio").cast("long").alias("_whole"), F.when(F.col("size") > 0, F.col("_ratio") - F.floor("_ratio")).otherwise(F.lit(0.0)).alias("_p")
     )
-    units = units.withColumn("_block", F.xxhash64("_sid", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_blocks")))).withColumn("_round", F.lit(0))
+    units = units.withColumn("_block", F.xxhash64("_sid", F.pmod(F.xxhash64(F.lit(seed), "_tie", "_tie2", "_turn"), F.col("_blocks")))).withColumn("_round", F.lit(0))
     done: list[DataFrame] = []
     open_p = (F.col("_p") > _EPS) & (F.col("_p") < 1 - _EPS)
     most = plan.agg(F.max("_blocks")).first()[0] or 1
@@ -159,7 +161,7 @@ def _decided(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = C
             break
         turn += 1
         most = -(-2 * most // block)  # two undecided a block at most
-        units = flown.where(open_p).withColumn("_round", F.lit(turn)).withColumn("_block", F.xxhash64("_sid", F.pmod(F.xxhash64(F.lit(seed + turn), "_key"), F.lit(most))))
+        units = flown.where(open_p).withColumn("_round", F.lit(turn)).withColumn("_block", F.xxhash64("_sid", F.pmod(F.xxhash64(F.lit(seed + turn), "_tie", "_tie2", "_turn"), F.lit(most))))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
