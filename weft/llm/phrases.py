@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.repeats import LAST, Prefix, buckets_for, candidates, covered, each, order_of, recurring, runs, spans_of, stage, with_row_id, with_windows
+from weft.llm.repeats import LAST, Prefix, buckets_for, candidates, covered, each, order_of, recurring, runs, spans_of, with_row_id, with_windows
+from weft.llm.stages import forget, stage
 from weft.llm.tokens import Words, grams, minimizers, mix64, slices, starts_of_grams
 
 WINDOW, GRAM = 13, 6
@@ -139,7 +140,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     gram = max(1, min(GRAM, (window + 1) // 2))
     found = candidates(rows, _anchors(window, gram), True, buckets, "phrases")
     gone = recurring(rows, found, lambda texts: _Text(texts, window), _resolve(window), True, buckets, "phrases")
-    return rows, stage(gone, "phrases-gone", release=True)
+    gone = stage(gone, "phrases-gone", release=True)
+    forget(found)
+    return rows, gone
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:

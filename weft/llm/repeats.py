@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.stages import stage
+from weft.llm.stages import forget, stage
 from weft.llm.tokens import mix64, powers, slices
 
-FLUSH = 6 << 20  # bytes of text whose anchors or units a task holds at once
+FLUSH = 4 << 20  # bytes of text whose anchors or units a task holds at once
 BUCKET = 4 << 20  # bytes of corpus text a reducer answers for
 HOT = 10_000  # documents that share an anchor
 SMALL = 100_000  # hot anchors (8 bytes each) that may be broadcast
@@ -223,7 +223,9 @@ def candidates(docs: DataFrame, anchors: Callable, across: bool, buckets: int, n
     if hot.count() <= SMALL:  # else the join shuffles, and adaptive execution splits its large partitions
         hot = F.broadcast(hot)
     marked = hits.where("n > 0").join(hot, F.col("key") == F.col("_hot"), "left").select("rid", F.struct("start", "n", "key", F.col("_hot").isNotNull().alias("hot")).alias("run"))
-    return stage(marked.groupBy("rid").agg(F.collect_set("run").alias("runs")), f"{name}-runs", release=True)  # equal rows have one id: their runs count once
+    found = stage(marked.groupBy("rid").agg(F.collect_set("run").alias("runs")), f"{name}-runs", release=True)  # equal rows have one id: their runs count once
+    forget(hits)
+    return found
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -272,10 +274,16 @@ def recurring(docs: DataFrame, found: DataFrame, read: Callable, resolve: Callab
             if len(key):
                 with np.errstate(over="ignore"):
                     ident = mark * np.uint64(0x9E3779B97F4A7C15) + key  # equal content and anchor place
-                by = np.lexsort((start, rid, order, ident))
-                head = np.ones(len(by), bool)
-                head[1:] = ident[by][1:] != ident[by][:-1]
-                first = np.flatnonzero(head)
+                while True:  # equal content decides: units that only share its hash get another one
+                    by = np.lexsort((start, rid, order, ident))
+                    head = np.ones(len(by), bool)
+                    head[1:] = ident[by][1:] != ident[by][:-1]
+                    first = np.flatnonzero(head)
+                    least = by[first][np.cumsum(head) - 1]
+                    differ = [i for i, j in zip(by[~head].tolist(), least[~head].tolist()) if contents[i] != contents[j]]
+                    if not differ:
+                        break
+                    ident[differ] += np.uint64(1)
                 size = np.diff(np.append(first, len(by)))
                 flag = np.zeros(len(first), np.uint8)
                 if first_stays:
