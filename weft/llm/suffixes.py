@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.repeats import Prefix, buckets_for, candidates, covered, each, order_of, recurring, runs, spans_of, stage, with_row_id, with_windows
+from weft.llm.repeats import Prefix, buckets_for, candidates, covered, each, order_of, recurring, runs, spans_of, with_row_id, with_windows
+from weft.llm.stages import forget, stage
 from weft.llm.tokens import _byte_table, buffers, grams, minimizers, slices
 
 DEPTH = 400
@@ -138,7 +139,9 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", t
     buckets = buckets_for(docs, text)
     found = candidates(rows, _anchors(depth), False, buckets, "suffixes")
     gone = recurring(rows, found, lambda texts: _Text(texts, depth), _resolve(depth), False, buckets, "suffixes")
-    return rows, stage(gone, "suffixes-gone", release=True)
+    gone = stage(gone, "suffixes-gone", release=True)
+    forget(found)
+    return rows, gone
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", text: str = "text") -> DataFrame:
