@@ -162,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: s
     """(key, item key, distance): every item that a text holds within the item's error budget."""
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, distance int"
-    out = None
+    out, done = None, []
     for part in chunks(benchmark, item_key, text):
 
         def scan(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
@@ -176,10 +176,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: s
                         distances.append(d)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(items, pa.array([p[0] for p in part]).type), pa.array(distances, pa.int32())], names=[key, item_key, "distance"])
 
-        found = docs.select(key, text).mapInArrow(scan, schema)
-        out = found if out is None else out.unionByName(found)
+        if out is not None:  # a written table lets go of its chunk: the driver holds one at a time
+            done.append(stage(out, "leaks"))
+        out = docs.select(key, text).mapInArrow(scan, schema)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
+    for before in done:
+        out = out.unionByName(before)
     return out.groupBy(key, item_key).agg(F.min("distance").alias("distance"))
 
 
