@@ -191,6 +191,25 @@ def test_jaccard(spark, seed):
     assert sort(got) == sort(brute_components(rows))
 
 
+@pytest.mark.parametrize("seed,growth", [(11, 2), (12, 4), (13, 100)])
+def test_jaccard_by_every_way(spark, monkeypatch, seed, growth):
+    """Colliding ids, ids that tasks pass by, many ranges, many and few rounds, and links close to the threshold."""
+    for name, value in (("ID_BITS", 9), ("LOCAL", 2), ("BUCKET", 2000), ("FLUSH", 3000), ("GROWTH", growth), ("SMALL", 0 if growth == 4 else 1000)):
+        monkeypatch.setattr(f"weft.llm.jaccard.{name}", value)
+    rng = random.Random(seed)
+    rows = []
+    for group in range(6):
+        base = [f"g{rng.randrange(900)}" for _ in range(rng.randrange(6, 90))]
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.randrange(0, max(2, len(base) // 14))):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(words[: len(words) - rng.randrange(3)])))
+    rows += [(len(rows), rows[0][1]), (3, rows[3][1]), (None, rows[5][1]), (len(rows) + 5, "")]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_components(documents(spark, rows)).collect()]
+    assert sort(got) == sort(brute_components(rows))
+
+
 def test_one_of_each(spark):
     rows = near_copies(5) + [(None, "some words of a text without a key here"), (900, None), (901, "")]
     rows += [(None, rows[0][1]), rows[1], rows[1], rows[41]]
@@ -199,7 +218,9 @@ def test_one_of_each(spark):
     assert sorted(k for k in kept if k is not None) == sorted(want) and kept.count(None) == 1
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_components_of_long_chains(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "a long, b long")
     roots = {r["id"]: r["root"] for r in jaccard.components(edges, "chain").collect()}
     assert roots == {**{i: 0 for i in range(1, 41)}, 101: 100}
@@ -333,7 +354,7 @@ def test_license_containment_is_exact():
 
 
 def brute_top(rows, k):
-    q = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    q = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for own, a in sorted({(i, tuple(v)) for i, v in q if i % 5 == 0}):
         scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in q if i != own)[:k]
@@ -366,15 +387,27 @@ def test_queries_that_share_an_id_are_all_asked(spark):
     assert sort(tuple(r) for r in got) == sort((0, n + 1, i, int(-s)) for n, (s, i) in enumerate(pooled))
 
 
+def test_scores_beyond_floats_and_empty_vectors(spark):
+    rows = [(0, [1e7 + 0.5, 1.0]), (1, [1e7 + 0.25, 0.504]), (2, [1e7 + 0.25, 0.5]), (3, []), (4, [-1e7, 3.0]), (5, []), (6, [1e7 + 0.25, 0.508]), (7, [3e-3, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for own in (0, 5):
+        scored = sorted((-sum(x * y for x, y in zip(q[own], q[i])), i) for i in q if i != own)[:7]
+        want += [(own, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    got = topk.top_k(vectors, F.col("vec_id") % 5 == 0, 7).collect()
+    assert sort(tuple(r) for r in got) == sort(want)
+
+
 def test_tree_computes_less():
     rng = np.random.default_rng(5)
     centres = rng.integers(-100, 100, (40, 16))
     points = (centres[rng.integers(0, 40, 4000)] + rng.integers(-3, 4, (4000, 16))).astype(float)
     tree = topk.MTree(points, np.arange(4000))
     q = points[:50]
-    best, _, computed = tree.search(q, np.arange(50), 5, np.full(50, -np.inf), np.full(50, np.inf))
-    s = q @ points.T
-    s[np.arange(50), np.arange(50)] = -np.inf
+    best, _, computed = tree.search(q.astype(np.int64), np.arange(50), 5, np.full(50, topk.NONE), np.full(50, topk.LAST))
+    s = (q @ points.T).astype(np.int64)
+    s[np.arange(50), np.arange(50)] = topk.NONE
     assert (np.sort(s, 1)[:, -5:][:, ::-1] == best).all()
     assert computed < 0.6 * 50 * 4000
 
@@ -382,6 +415,23 @@ def test_tree_computes_less():
 # --- 5: sharding ---
 
 
+def test_hot_keys_and_equal_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL", 20)
+    rng = random.Random(1)
+    rows = [(None, prose(rng, 20)) for _ in range(200)] + [(7, "same text") for _ in range(150)] + [(i, prose(rng, 20)) for i in range(100)]
+    docs = documents(spark, rows).withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    out = sharding.external_shuffle(docs, 4, bucket_bytes=1000)
+    got = out.toPandas()
+    assert collections.Counter(zip(got["doc_id"].fillna(-1), got["text"])) == collections.Counter((-1 if k is None else k, t) for k, t in rows)
+    assert out.schema["extra"].dataType.simpleString() == "map<string,int>" and all(m == {"a": 1} for m in got["extra"])
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    sizes = {len(t) + 1 for _, t in rows}
+    assert max(sizes) < 1000  # no bucket holds the rows of a key: slots of the equal rows lie all over their shard
+    same = got[got["text"] == "same text"]
+    assert same["shard"].nunique() == 1 and same["slot"].max() - same["slot"].min() > 150
+
+
 def test_sharding(spark, tmp_path):
     rows = corpus(6)
     docs = documents(spark, rows)
