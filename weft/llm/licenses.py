@@ -12,8 +12,8 @@ for others, so the miss probability is below 1.1e-6 for a piece; a longer templa
 has several pieces.  Retrieved templates are verified exactly: the share of the
 template's shingles, as words, that stand in the text around the window.
 
-Templates are a parameter; their total size is checked against ``MAX_TEMPLATES``
-bytes before they go to the workers.
+Templates are a parameter; they go to the workers in parts of ``MAX_TEMPLATES`` bytes
+at most, each in a scan of its own.
 
 Defined cases: null and empty texts, and texts shorter than a shingle, match
 nothing; templates under three words are refused; a license found in several places of a
@@ -171,9 +171,20 @@ class Index:
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, license, containment, first_word): every license notice that a text holds."""
-    index = Index(templates, containment)
+    """(key, license, containment, first_word): every license notice that a text holds; a pass over the texts for each ``MAX_TEMPLATES`` bytes of templates."""
+    parts: list[list[tuple[str, str]]] = [[]]
+    for name, notice in templates:
+        if parts[-1] and sum(len(t.encode()) for _, t in [*parts[-1], (name, notice)]) > MAX_TEMPLATES:
+            parts.append([])
+        parts[-1].append((name, notice))
+    rows = None
+    for part in parts:
+        found = _scan(docs, Index(tuple(part), containment), key, text)
+        rows = found if rows is None else rows.unionByName(found)
+    return rows.groupBy(key, "license").agg(F.max("containment").alias("containment"), F.expr("min_by(first_word, struct(-containment, first_word))").alias("first_word"))
+
 
+def _scan(docs: DataFrame, index: Index, key: str, text: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, 1)):
             found = index.scan(b.column(1))
@@ -184,5 +195,4 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, text).mapInArrow(scan, f"`{key}` {kind}, license string, containment double, first_word long")
-    return rows.groupBy(key, "license").agg(F.max("containment").alias("containment"), F.expr("min_by(first_word, struct(-containment, first_word))").alias("first_word"))
+    return docs.select(key, text).mapInArrow(scan, f"`{key}` {kind}, license string, containment double, first_word long")
