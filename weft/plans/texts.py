@@ -89,8 +89,8 @@ def search_group_by_page(spark, folder):
     "dictionary_search",
     """WITH t AS (SELECT item_id AS term_id, lower(regexp_extract(text, '^[A-Za-z]+')) AS term FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]{3,}'))
        SELECT doc_id, term_id, CAST(n AS INTEGER) AS n FROM (
-           SELECT doc_id, term_id, len(list_filter(range(1, length(lower(text)) + 1), lambda i: substr(lower(text), i, length(term)) = term)) AS n
-           FROM documents, t WHERE contains(lower(text), term)) WHERE n > 0""",
+           SELECT doc_id, term_id, len(list_filter(range(2, len(p) + 1), lambda k: starts_with(array_to_string(p[k:k + length(term)], chr(1)), replace(substr(term, 2), substr(term, 1, 1), chr(1))))) AS n
+           FROM (SELECT doc_id, term_id, term, string_split(lower(text), substr(term, 1, 1)) AS p FROM documents, t WHERE contains(lower(text), term))) WHERE n > 0""",
 )
 def dictionary_search(spark, folder):
     terms = read_table(spark, folder, "benchmark").where(F.col("text").rlike("^[A-Za-z]{3,}")).select(F.col("item_id").alias("term_id"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("term"))
