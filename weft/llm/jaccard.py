@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.repeats import Prefix, with_row_id
-from weft.llm.stages import SMALL, small, stage
+from weft.llm.stages import SMALL, forget, small, stage
 from weft.llm.tokens import Words, grams, mix64, slices, starts_of_grams
 
 SHINGLE = 5
@@ -327,17 +327,17 @@ def _index(heads: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
     depth = (F.col("n") - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR - F.lit(1e-9)) + 1 - alone).cast("int")
     prefix = lambda order: F.slice(F.array_sort(order), F.lit(1), F.col("depth"))
     by_hash = lambda salt: F.transform(prefix(F.transform("found", lambda x: F.struct(F.xxhash64(x["token"], F.lit(salt)).alias("h"), x["token"].alias("token")))), lambda x: x["token"])
-    return (
-        sized.withColumns({"depth": depth, "alone": alone.cast("int")})
-        .where("depth > 0")
-        .select("node", "n", F.transform(prefix(F.col("found")), lambda x, i: F.struct(x["token"].alias("token"), (F.col("alone") + i).alias("at"))).alias("p1"), by_hash(2).alias("p2"), by_hash(3).alias("p3"))
-    )
+    at_places = F.transform(prefix(F.col("found")), lambda x, i: F.struct(x["token"].alias("token"), (F.col("alone") + i).alias("at")))
+    prefixes = sized.withColumns({"depth": depth, "alone": alone.cast("int")}).where("depth > 0").select("node", "n", at_places.alias("p1"), by_hash(2).alias("p2"), by_hash(3).alias("p3"))
+    index = stage(prefixes, "jaccard-index", release=True)
+    forget(hits)
+    return index
 
 
 def _joined_classes(rows: DataFrame, classes: DataFrame, bits: int) -> DataFrame | None:
     """(id, root): heads of classes that are not the first of their component, and that first one."""
     heads = rows.join(classes.select(F.col("head").alias("h")), F.col("node") == F.col("h"), "left_semi")
-    index = stage(_index(heads, classes, bits), "jaccard-index", release=True)
+    index = _index(heads, classes, bits)
     every = index.select("node", "n", F.explode("p1").alias("p")).select(F.col("p.token").alias("token"), "node", "n", F.col("p.at").alias("at"))
     near = _near()
     met = every.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(near).alias("near")).where("lo <> hi and near").select(F.col("token").alias("t"))
@@ -346,6 +346,7 @@ def _joined_classes(rows: DataFrame, classes: DataFrame, bits: int) -> DataFrame
     orders = index.select(F.col("node").alias("m"), "p2", "p3").join(needed, "m", "left_semi")
     texts = rows.join(needed, F.col("node") == F.col("m"), "left_semi").dropDuplicates(["node"]).join(orders, F.col("node") == F.col("m")).select("node", "text", "p2", "p3")
     texts = stage(texts, "jaccard-texts", release=True)
+    forget(index)
 
     roots = members = joined = None
     for turn in range(64):
@@ -354,7 +355,10 @@ def _joined_classes(rows: DataFrame, classes: DataFrame, bits: int) -> DataFrame
             now = entries if joined is None else _moved(members.select("token", "node", "n", "at", "comp"), "comp", joined)
             groups = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
             open_groups = groups.where("lo <> hi").select(F.col("token").alias("t"), "c", "size")
-            members = stage(now.join(open_groups, F.col("token") == F.col("t")).drop("t"), f"jaccard-open{turn}")
+            open_members = stage(now.join(open_groups, F.col("token") == F.col("t")).drop("t"), f"jaccard-open{turn}")
+            if members is not None:
+                forget(members)
+            members = open_members
         largest = members.agg(F.max("size")).first()[0]
         if not largest:
             break
@@ -373,6 +377,7 @@ def _joined_classes(rows: DataFrame, classes: DataFrame, bits: int) -> DataFrame
             roots = joined if roots is None else stage(_moved(roots, "root", joined).unionByName(joined), f"jaccard-roots{turn}")
         if last:
             break
+    forget(entries, texts, members)
     return roots
 
 
@@ -419,6 +424,7 @@ def _joined_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
         names = named.groupBy(F.col("comp").alias("c")).agg(F.min("name").alias("least"))
         named = named.join(names, F.col("comp") == F.col("c")).select("f1", "f2", "n", "comp", F.col("least").alias("name"))
     named = stage(named, "jaccard-named")
+    forget(classes)
     return sets.select("node", "key", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left").select("node", "key", "n", "comp", "name")
 
 
