@@ -218,15 +218,16 @@ def font_names(spark, folder):
 @query(
     "text_positions",
     """SELECT user_id, event_id, round(coalesce(sum(a) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS x
-       FROM (SELECT user_id, event_id, ((250 + event_id % 500) / 1000.0::DOUBLE * s + 0.5 + CASE WHEN event_type = 'click' THEN 2.0 ELSE 0.0 END) * 0.9 - (event_id % 4) * 50 / 1000.0::DOUBLE * CASE WHEN s = 0 THEN 12 ELSE s END * 0.9 AS a
+       FROM (SELECT user_id, event_id, ((250 + event_id % 500) / 1024.0::DOUBLE * s + 0.5 + CASE WHEN event_type = 'click' THEN 2.0 ELSE 0.0 END) * 0.75::DOUBLE - (event_id % 4) * 125 / 1000.0::DOUBLE * CASE WHEN s = 0 THEN 12 ELSE s END * 0.75::DOUBLE AS a
              FROM (SELECT *, CAST(event_id % 3 * 10 AS DOUBLE) AS s FROM events))""",
 )
 def text_positions(spark, folder):
+    """All steps are binary fractions, so sums are exact in any order."""
     from pyspark.sql import Window
 
     size = (F.col("event_id") % 3 * 10).cast("double")
     width = 250 + F.col("event_id") % 500
-    step = numeric.text_advance(width, 1000.0, size, F.lit(0.5), F.lit(2.0), F.col("event_type") == "click", 0.9) + numeric.text_adjustment(F.col("event_id") % 4 * 50, size, 0.9)
+    step = numeric.text_advance(width, 1024.0, size, F.lit(0.5), F.lit(2.0), F.col("event_type") == "click", 0.75) + numeric.text_adjustment(F.col("event_id") % 4 * 125, size, 0.75)
     before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     return read_table(spark, folder, "events").select("user_id", "event_id", F.round(F.coalesce(F.sum(step).over(before), F.lit(0.0)), 6).alias("x"))
 
