@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.quality import labelled_sample
-from weft.llm.stages import stage
+from weft.llm.stages import forget, stage
 from weft.llm.tokens import Words, slices
 
 SAMPLE = 20_000
@@ -106,6 +106,10 @@ def _plain(word: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(f for f in found if len(f) >= 3 and len(f) != len(core)))
 
 
+#: Words that hide nothing: ASCII letters and digits, and letters that are one of these and a mark.
+_MARKED = "".join(chr(i) for i in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFKD", chr(i))) == 2 and d[0].isascii() and d[0].isalpha() and not d[1].isalnum())
+_OPEN = re.compile(f"[0-9A-Za-z{_MARKED}]*").fullmatch
+
 #: Three or more single letters or digits with anything else between them, white space too.
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]++[^\W_](?![^\W_])){2,}+")
 
@@ -117,7 +121,7 @@ def unmasked(texts: pa.Array) -> pa.Array:
         if text:
             if isinstance(text, bytes):
                 text = text.decode("utf-8", "replace")
-            hidden = {h for w in set(text.split()) if not (w.isascii() and w.isalnum()) for h in _plain(w)}
+            hidden = {h for w in set(text.split()) if not _OPEN(w.strip(string.punctuation)) for h in _plain(w)}
             for m in _SPELLED.finditer(text):
                 letters = "".join(c for c in m.group() if c.isalnum())
                 if any(c.isalpha() for c in letters):
@@ -344,6 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit
             break
         hard = margins.loc[(margins["y"] == 0), ["m", "w"]].sort_values(["m", "w"], ascending=False)["w"].str.lower().str.strip(".,;:!?\"'()|*$%&#")
         negative = list(dict.fromkeys(negative + [w for w in dict.fromkeys(hard.head(3000)) if w and w not in taken]))
+    forget(sample, seen)
     slope, offset = _calibrate(margins["m"].to_numpy(), margins["y"].to_numpy())
     return Model(model.weights, model.bias, slope, offset)
 
