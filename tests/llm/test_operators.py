@@ -140,6 +140,38 @@ def test_suffixes(spark, monkeypatch, hot):
     assert sum(r[2] for r in got) > 1000
 
 
+@pytest.mark.parametrize("kind", ["phrases", "suffixes"])
+def test_hot_windows_recur_by_content(spark, monkeypatch, kind):
+    """Window hashes that are all equal drop nothing and remove nothing."""
+    module = {"phrases": phrases, "suffixes": suffixes}[kind]
+
+    class Colliding(module._Text):
+        def windows(self, *runs):
+            run, window, h, anchor, *rest = super().windows(*runs)
+            return run, window, np.zeros_like(h), np.zeros_like(anchor), *rest
+
+    monkeypatch.setattr(module, "_Text", Colliding)
+    monkeypatch.setattr("weft.llm.repeats.HOT", 3)
+    monkeypatch.setattr("weft.llm.repeats.BUCKET", 4000)
+    rows = corpus(3)
+    if kind == "phrases":
+        got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in phrases.remove_repeats(documents(spark, rows)).collect()]
+        assert sort(got) == sort(brute_phrases(rows))
+    else:
+        got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_repeats(documents(spark, rows), depth=60).collect()]
+        assert sort(got) == sort(brute_bytes(rows, 60))
+
+
+def test_hot_passage_of_many_windows(spark, monkeypatch):
+    monkeypatch.setattr("weft.llm.repeats.HOT", 3)
+    rng = random.Random(4)
+    long = prose(rng, 14_000, 9_000)
+    assert len(long) > 70_000
+    rows = [(i, prose(rng, 30) + long + prose(rng, 30), "s") for i in range(6)]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_repeats(documents(spark, rows), depth=60).collect()]
+    assert sort(got) == sort(brute_bytes(rows, 60))
+
+
 def test_radix_groups():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 2, 4000).astype(np.uint8)
