@@ -149,3 +149,22 @@ def test_filter_registry(spark):
         assert bytes(one(spark, codecs.decode(F.lit("abc").cast("binary"), "Mirror"))[0]) == b"cba"
     finally:
         del codecs.FILTERS["Mirror"]
+
+
+def test_large_object_stream(spark, tmp_path):
+    """One stream of 20,000 objects: nothing of the whole stream may be computed again for each object."""
+    import time
+
+    from weft.catalogue import QUERIES
+
+    rows = [(1, i, f"b{i % 7}") for i in range(20000)] + [(2, 7, None), (2, 8, ""), (2, 9, "é)"), (None, -3, "x"), (3, None, "y")]
+    spark.createDataFrame(rows, "c_nationkey int, c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    began = time.monotonic()
+    got = QUERIES["object_stream"](spark, str(tmp_path)).collect()
+    assert time.monotonic() - began < 60
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
+def test_object_stream_without_objects(spark):
+    row = spark.createDataFrame([(b"", 0, 0)], "data binary, n int, first int")
+    assert row.select(objects.object_stream(F.col("data"), F.col("n"), F.col("first")).alias("o")).first()["o"] == []

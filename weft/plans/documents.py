@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import color, crypto, numeric, raster
@@ -52,13 +53,17 @@ def dereference(spark, folder):
 
 @query("object_stream", "SELECT c_nationkey, c_custkey AS num, c_mktsegment AS body FROM customer")
 def object_stream(spark, folder):
-    """Streams are packed, and read again."""
-    rows = F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment")))
-    packed = read_table(spark, folder, "customer").groupBy("c_nationkey").agg(rows.alias("rows"))
-    place = F.aggregate("rows", F.struct(F.lit("").alias("head"), F.lit(0).alias("at")), lambda a, r: F.struct(F.concat(a["head"], r["c_custkey"].cast("string"), F.lit(" "), a["at"].cast("string"), F.lit(" ")).alias("head"), (a["at"] + F.length(r["c_mktsegment"])).alias("at")))
-    streams = packed.select("c_nationkey", F.size("rows").alias("n"), place["head"].alias("head"), F.array_join(F.transform("rows", lambda r: r["c_mktsegment"]), "").alias("bodies"))
+    """Streams are packed, and read again.  A body is a string in parentheses, or null."""
+    body = F.coalesce(F.concat(F.lit("("), "c_mktsegment", F.lit(")")), F.lit("null"))
+    so_far = Window.partitionBy("c_nationkey").orderBy("c_custkey", "body").rowsBetween(Window.unboundedPreceding, -1)
+    placed = read_table(spark, folder, "customer").select("c_nationkey", "c_custkey", body.alias("body")).withColumn("at", F.coalesce(F.sum(F.octet_length("body")).over(so_far), F.lit(0)))
+    packed = placed.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("at", "c_custkey", "body"))).alias("rows"))
+    head = F.array_join(F.transform("rows", lambda r: F.concat(F.coalesce(r["c_custkey"].cast("string"), F.lit("null")), F.lit(" "), r["at"].cast("string"), F.lit(" "))), "")
+    streams = packed.select("c_nationkey", F.size("rows").alias("n"), head.alias("head"), F.array_join(F.transform("rows", lambda r: r["body"]), "").alias("bodies"))
     data = F.concat("head", "bodies").cast("binary")
-    return streams.select("c_nationkey", F.explode(objects.object_stream(data, F.col("n"), F.length("head"))).alias("o")).select("c_nationkey", F.col("o.num").alias("num"), F.col("o.body").cast("string").alias("body"))
+    read = streams.select("c_nationkey", F.explode(objects.object_stream(data, F.col("n"), F.octet_length("head"))).alias("o"))
+    text = F.col("o.body").cast("string")
+    return read.select("c_nationkey", F.col("o.num").alias("num"), F.when(text != "null", F.substring(text, F.lit(2), F.length(text) - 2)).alias("body"))
 
 
 @query(

@@ -29,12 +29,19 @@ def dereference(values: DataFrame, objects: DataFrame, ref: str, value: str) ->
 def object_stream(data: Column, count: Column, first: Column) -> Column:
     """array<struct<num, body>> of a packed stream: ``count`` pairs of number and offset, bodies from byte ``first`` on.
 
-    A body ends where the next one, in the order of the header, begins.
+    A body ends where the next one, in the order of the header, begins.  Stream, header and counts are bound once:
+    what stands free in the function of a transform is computed again for each object.
     """
-    header = F.regexp_extract_all(F.substring(data, F.lit(1), first).cast("string"), F.lit(r"(\d+)"), 1)
-    at = lambda i: F.get(header, i * 2 + 1).cast("int") + first
-    end = lambda i: F.when(i + 1 < count, at(i + 1)).otherwise(F.length(data))
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.get(header, i * 2).cast("bigint").alias("num"), F.substring(data, at(i) + 1, end(i) - at(i)).alias("body")))
+    header = F.regexp_extract_all(F.substring(data, F.lit(1), first).cast("string"), F.lit(r"(-?\d+|null)"), 1)
+    bound = F.struct(data.alias("data"), header.alias("header"), count.cast("int").alias("count"), first.cast("int").alias("first"))
+
+    def read(s: Column) -> Column:
+        at = lambda i: F.get(s["header"], i * 2 + 1).cast("int") + s["first"]
+        end = lambda i: F.when(i + 1 < s["count"], at(i + 1)).otherwise(F.length(s["data"]))
+        places = F.when(s["count"] > 0, F.sequence(F.lit(0), s["count"] - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.get(s["header"], i * 2).try_cast("bigint").alias("num"), F.substring(s["data"], at(i) + 1, end(i) - at(i)).alias("body")))
+
+    return F.transform(F.array(bound), read)[0]
 
 
 # --- code maps ---
