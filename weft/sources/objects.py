@@ -123,13 +123,20 @@ def form_data_objects(fields: DataFrame, form: str, name: str, values: str) -> D
     listed = F.transform(F.when(F.size(values) > 0, F.col(values)).otherwise(F.array(F.lit(""))), literal_string)
     value = F.when(F.size(listed) == 1, listed[0]).otherwise(F.concat(F.lit("["), F.array_join(listed, " "), F.lit("]")))
     item = F.concat(F.lit("<< /T "), literal_string(F.col(name)), F.lit(" /V "), value, F.lit(" >>"))
-    forms = fields.groupBy(form).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), item.alias("x")))), lambda s: s["x"]).alias("_items"))
-    refs = F.array_join(F.transform("_items", lambda x, i: F.concat((i + 2).cast("string"), F.lit(" 0 R"))), " ")
-    root = F.concat(F.lit("<< /Type /Catalog /FDF << /Fields ["), refs, F.lit("] >> >>"))
-    bodies = F.transform(F.concat(F.array(root), F.col("_items")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(" 0 obj\n"), x, F.lit("\nendobj\n")))
+    # numbers and places are added up by a window: an array that an aggregate appends to is copied for each field
+    by = Window.partitionBy(form).orderBy("_name", "_item")
+    items = fields.select(form, F.col(name).alias("_name"), item.alias("_item")).withColumn("_number", F.row_number().over(by) + 1)
+    object_text = lambda number, x: F.concat(number.cast("string"), F.lit(" 0 obj\n"), x, F.lit("\nendobj\n"))
+    written = items.withColumn("_body", object_text(F.col("_number"), F.col("_item")))
+    placed = written.withColumn("_at", F.sum(F.octet_length("_body")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    forms = placed.groupBy(form).agg(F.array_sort(F.collect_list(F.struct("_number", "_at", "_body"))).alias("_items"))
+    refs = F.array_join(F.transform("_items", lambda x: F.concat(x["_number"].cast("string"), F.lit(" 0 R"))), " ")
+    root = object_text(F.lit(1), F.concat(F.lit("<< /Type /Catalog /FDF << /Fields ["), refs, F.lit("] >> >>")))
     head = F.concat(F.lit("%FDF-1.2\n%").cast("binary"), F.unhex(F.lit("E2E3CFD3")), F.lit("\n").cast("binary"))
-    start = F.length(head)
-    made = forms.withColumn("_bodies", bodies).withColumn("_starts", F.aggregate("_bodies", F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.octet_length(x))))
+    rooted = forms.withColumn("_root", root).withColumn("_first", F.length(head) + F.octet_length("_root"))
+    # one place for each object and one for the table behind them
+    places = F.concat(F.array(F.length(head).cast("bigint"), F.col("_first").cast("bigint")), F.transform("_items", lambda x: F.col("_first") + x["_at"]))
+    made = rooted.withColumn("_bodies", F.concat(F.array("_root"), F.transform("_items", lambda x: x["_body"]))).withColumn("_starts", places)
     n = F.size("_bodies")
     rows = F.array_join(F.transform(F.slice("_starts", F.lit(1), n), lambda s: F.concat(F.lpad(s.cast("string"), 10, "0"), F.lit(" 00000 n \n"))), "")
     tail = F.concat(F.lit("xref\n0 "), (n + 1).cast("string"), F.lit("\n0000000000 65535 f \n"), rows, F.lit("trailer\n<< /Root 1 0 R /Size "), (n + 1).cast("string"), F.lit(" >>\nstartxref\n"), F.element_at("_starts", -1).cast("string"), F.lit("\n%%EOF\n"))
