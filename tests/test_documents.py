@@ -168,3 +168,10 @@ def test_large_object_stream(spark, tmp_path):
 def test_object_stream_without_objects(spark):
     row = spark.createDataFrame([(b"", 0, 0)], "data binary, n int, first int")
     assert row.select(objects.object_stream(F.col("data"), F.col("n"), F.col("first")).alias("o")).first()["o"] == []
+
+
+def test_paragraph_bound_is_the_exact_product(spark):
+    """30.1 - 10.9 is above 19.2 and not above 12 * 1.6 in floats."""
+    lines = spark.createDataFrame([(1, 1, 30.1, 0), (1, 2, 10.9, 0), (2, 1, 19.2, 12), (2, 2, 0.0, 12)], "page long, seq long, y double, height long")
+    got = layout.paragraphs(lines, "page", "y", "height", "seq").collect()
+    assert sorted((r["page"], r["seq"], r["paragraph"]) for r in got) == [(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)]

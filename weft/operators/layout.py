@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 LINE_TOLERANCE = 3.0
 SPACE_GAP = 1.5
-PARAGRAPH_FACTOR = 1.6
+PARAGRAPH_TENTHS = 16
 DEFAULT_HEIGHT = 12.0
 
 
@@ -20,12 +20,15 @@ def islands(rows: DataFrame, partition: list[str], order: list[Column], breaks:
 
 
 def paragraphs(lines: DataFrame, page: str, y: str, height: str, tie: str) -> DataFrame:
-    """Lines from top to bottom with ``paragraph``: a gap above 1.6 times the height of the line before begins one."""
-    order = [F.desc(y), F.col(tie)]
+    """Lines from top to bottom with ``paragraph``: a gap above 1.6 times the height of the line before begins one.
+
+    Sixteen tenths are rounded once, so the bound is the float nearest to the exact product; 1.6 as a float is not 1.6.
+    """
+    order = [F.desc(y), F.asc_nulls_last(tie)]
     by = Window.partitionBy(page).orderBy(*order)
     before = F.lag(y).over(by)
     tall = F.lag(F.when(F.col(height) > 0, F.col(height)).otherwise(DEFAULT_HEIGHT)).over(by)
-    marked = lines.withColumn("_gap", before - F.col(y) > tall * PARAGRAPH_FACTOR)
+    marked = lines.withColumn("_gap", before - F.col(y) > tall * PARAGRAPH_TENTHS / 10)
     return islands(marked, [page], order, F.col("_gap"), "paragraph").drop("_gap")
 
 
