@@ -175,3 +175,22 @@ def test_paragraph_bound_is_the_exact_product(spark):
     lines = spark.createDataFrame([(1, 1, 30.1, 0), (1, 2, 10.9, 0), (2, 1, 19.2, 12), (2, 2, 0.0, 12)], "page long, seq long, y double, height long")
     got = layout.paragraphs(lines, "page", "y", "height", "seq").collect()
     assert sorted((r["page"], r["seq"], r["paragraph"]) for r in got) == [(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0)]
+
+
+def test_diff_runs_hold_no_table_of_runs(spark, tmp_path):
+    """Runs come out of one sort; positions without value are in the last run, equal ones count once."""
+    import duckdb
+
+    from weft.catalogue import ORACLES, QUERIES
+
+    rows = [(s, p) for s in (1, 2, None) for p in (1, 1, 6, 12, 12, 13, 40, None, None)] + [(3, None), (4, 7), (5, 1), (5, 9)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["diff_runs"](spark, str(tmp_path))
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(ORACLES["diff_runs"]).fetchall()
+    order = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted((tuple(r) for r in found.select("l_suppkey", "run", "x0", "x1", "n").collect()), key=order) == sorted(want, key=order)
+    plain = layout.diff_runs(spark.createDataFrame([(1, 1), (1, 1), (1, 9)], "s long, x long"), "s", "x").collect()
+    assert sorted(tuple(r) for r in plain) == [(1, 0, 1, 1, 2), (1, 1, 9, 9, 1)]

@@ -32,12 +32,25 @@ def paragraphs(lines: DataFrame, page: str, y: str, height: str, tie: str) -> Da
     return islands(marked, [page], order, F.col("_gap"), "paragraph").drop("_gap")
 
 
-def diff_runs(rows: DataFrame, row: str, x: str, reach: int = 5) -> DataFrame:
-    """Runs of positions in a row: a new one begins more than ``reach`` after the last position."""
-    by = Window.partitionBy(row).orderBy(x)
-    marked = rows.withColumn("_far", F.col(x) > F.lag(x).over(by) + reach)
-    runs = islands(marked, [row], [F.col(x)], F.col("_far"), "run")
-    return runs.groupBy(row, "run").agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.count(F.lit(1)).alias("n"))
+def diff_runs(rows: DataFrame, row: str, x: str, reach: int = 5, distinct: bool = False) -> DataFrame:
+    """Runs of positions in a row: a new one begins more than ``reach`` after the last position; ``distinct`` counts equal positions once.
+
+    One shuffle by row and one sort: of each run only its first and last rows are kept, and nothing is hashed, so a
+    task holds what it sorts.  Positions without value come last, in the last run.
+    """
+    by = Window.partitionBy(row).orderBy(F.asc_nulls_last(x))
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    here, after = F.col(x), F.col("_next")
+    place = (F.dense_rank() if distinct else F.row_number()).over(by).cast("bigint")
+    around = rows.select(row, x).withColumns({"_first": F.row_number().over(by) == 1, "_last": F.lead(F.lit(1)).over(by).isNull(), "_prev": F.lag(x).over(by), "_next": F.lead(x).over(by), "_place": place})
+    begins = F.col("_first") | F.coalesce(here > F.col("_prev") + reach, F.lit(False))
+    ends = F.col("_last") | F.coalesce(after > here + reach, F.lit(False))
+    edges = around.select(row, x, "_place", begins.alias("_begins"), ends.alias("_ends"), after.isNull().alias("_before_null")).where("_begins or _ends or _before_null")
+    of_run = lambda c: F.last(F.when(F.col("_begins"), c), ignorenulls=True).over(so_far)
+    runs = edges.select(
+        row, (F.sum(F.col("_begins").cast("int")).over(so_far) - 1).cast("int").alias("run"), of_run(here).alias("x0"), F.last(here, ignorenulls=True).over(so_far).alias("x1"), (F.col("_place") - of_run(F.col("_place")) + 1).alias("n"), "_ends"
+    )
+    return runs.where("_ends").drop("_ends")
 
 
 def _lines(pdf: pd.DataFrame) -> pd.DataFrame:

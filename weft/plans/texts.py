@@ -191,7 +191,7 @@ def paragraph_breaks(spark, folder):
        SELECT l_suppkey, run, min(l_partkey) AS x0, max(l_partkey) AS x1, count(*) AS n FROM r GROUP BY l_suppkey, run""",
 )
 def diff_runs(spark, folder):
-    return layout.diff_runs(read_table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")
+    return layout.diff_runs(read_table(spark, folder, "lineitem"), "l_suppkey", "l_partkey", distinct=True)
 
 
 @query(
