@@ -194,3 +194,17 @@ def test_diff_runs_hold_no_table_of_runs(spark, tmp_path):
     assert sorted((tuple(r) for r in found.select("l_suppkey", "run", "x0", "x1", "n").collect()), key=order) == sorted(want, key=order)
     plain = layout.diff_runs(spark.createDataFrame([(1, 1), (1, 1), (1, 9)], "s long, x long"), "s", "x").collect()
     assert sorted(tuple(r) for r in plain) == [(1, 0, 1, 1, 2), (1, 1, 9, 9, 1)]
+
+
+def test_many_rdf_properties(spark):
+    """Each property is read once, however many a description has; a later one of a name wins."""
+    import time
+
+    from weft.sources import reports
+
+    props = "".join(f"<p:n{i}>old</p:n{i}>" for i in range(300)) + "".join(f"<p:N{i}> v{i} &amp; </p:N{i}>" for i in range(300)) + "<dc:subject><rdf:li>a</rdf:li><rdf:li>b</rdf:li></dc:subject>"
+    rows = spark.range(20).select(F.concat(F.lit(f'<rdf:Description about="">{props}</rdf:Description>'), F.col("id").cast("string")).alias("x"))
+    began = time.monotonic()
+    found = [r["m"] for r in rows.select(reports.rdf_properties(F.col("x")).alias("m")).collect()]
+    assert time.monotonic() - began < 20
+    assert found == [{f"p:n{i}": [f"v{i} &"] for i in range(300)} | {"dc:subject": ["a", "b"]}] * 20

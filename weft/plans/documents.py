@@ -380,7 +380,8 @@ def rdf_properties(spark, folder):
         F.lit('<x:xmpmeta><rdf:RDF><rdf:Description about=""><dc:Title>old</dc:Title><dc:Title>\n<rdf:Alt><rdf:li xml:lang="x">'), "c_name", F.lit(" &amp; co</rdf:li></rdf:Alt> </dc:Title><pdf:Pages>3</pdf:Pages></rdf:Description><rdf:Description><dc:creator><rdf:Seq><rdf:li>"),
         "c_mktsegment", F.lit("</rdf:li>\n<rdf:li>"), F.col("c_nationkey").cast("string"), F.lit("</rdf:li></rdf:Seq></dc:creator></rdf:Description></rdf:RDF></x:xmpmeta>"),
     )
-    found = read_table(spark, folder, "customer").select("c_custkey", reports.rdf_properties(xml).alias("m"))
+    rows = read_table(spark, folder, "customer").repartition("c_custkey")  # rows are small and dear: one file of them would be one task
+    found = rows.select("c_custkey", reports.rdf_properties(xml).alias("m"))
     value = lambda name: F.array_join(F.try_element_at("m", F.lit(name)), "|")
     return found.select("c_custkey", value("dc:title").alias("title"), value("dc:creator").alias("creators"), value("pdf:pages").alias("pages"))
 

@@ -112,14 +112,15 @@ def rdf_properties(xml: Column) -> Column:
     def plain(x: Column) -> Column:
         return F.regexp_replace(resolve_entities(F.regexp_replace(x, r"(?s)<[^>]*>", "")), r"^\s+|\s+$", "")
 
-    def one(e: Column) -> Column:
-        name = F.lower(F.regexp_extract(e, r"^<([A-Za-z][\w:.-]*)", 1))
-        items = F.transform(F.regexp_extract_all(e, F.lit(r"(?is)<rdf:li\b[^>]*>(.*?)</rdf:li>"), 1), plain)
-        return F.struct(name.alias("key"), F.when(name.isin(*LISTS), items).otherwise(F.array(plain(e))).alias("value"))
-
-    found = F.transform(entries, one)
-    last = F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    def value(entry: Column) -> Column:
+        items = F.transform(F.regexp_extract_all(entry["e"], F.lit(r"(?is)<rdf:li\b[^>]*>(.*?)</rdf:li>"), 1), plain)
+        return F.struct(entry["key"].alias("key"), F.when(entry["key"].isin(*LISTS), items).otherwise(F.array(plain(entry["e"]))).alias("value"))
+
+    # each step is bound to the argument of a function: what stands free in one is computed again for each entry
+    named = F.transform(entries, lambda e: F.struct(F.lower(F.regexp_extract(e, r"^<([A-Za-z][\w:.-]*)", 1)).alias("key"), e.alias("e")))
+    keyed = F.transform(F.array(named), lambda n: F.struct(n.alias("n"), F.transform(n, lambda x: x["key"]).alias("keys")))
+    last = F.transform(keyed, lambda k: F.filter(k["n"], lambda x, i: F.array_position(F.slice(k["keys"], i + 2, F.size(k["keys"])), x["key"]) == 0))[0]
+    return F.map_from_entries(F.transform(last, value))
 
 
 def annotations(rows: DataFrame, identity: str | None = None, kind: str | None = None, id_column: str = "id", kind_column: str = "kind") -> DataFrame:
