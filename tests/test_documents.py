@@ -208,3 +208,29 @@ def test_many_rdf_properties(spark):
     found = [r["m"] for r in rows.select(reports.rdf_properties(F.col("x")).alias("m")).collect()]
     assert time.monotonic() - began < 20
     assert found == [{f"p:n{i}": [f"v{i} &"] for i in range(300)} | {"dc:subject": ["a", "b"]}] * 20
+
+
+def test_dictionary_is_one_scan(spark):
+    """However many terms, pages are read once; matches overlap and none goes from one text into the next."""
+    words = [f"w{i}" for i in range(200)] + ["a", "é", "aa", "aaa", "anan", "ß", "日本", "日本語", "A"]
+    texts = [(0, "aaaa"), (1, "aÉé anananan w19"), (1, "9 日本語日本"), (2, ""), (3, None), (4, "İAA w1W19w199"), (5, "日"), (6, "a" * 3000)]
+    listed = spark.createDataFrame([*enumerate(words), (999, None)], "term_id long, term string")
+    found = search.dictionary_search(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), listed)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    fold = lambda t: t.replace("İ", "i").lower()
+    want = [(k, i, n) for k, t in texts if t for i, w in enumerate(words) if (n := len(re.findall(f"(?={fold(w)})", fold(t))))]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_terms_over_chunks_and_tables(monkeypatch):
+    import pyarrow as pa
+
+    from weft.operators import terms
+
+    monkeypatch.setattr(terms, "CHUNK", 7)
+    monkeypatch.setattr(terms, "TABLE_BYTES", 8)
+    texts, words = ["abcabcabcab" * 5, "", "bca", "xxabcabcxx"], ["abcabc", "bc", "c", "cabcabca", "xx", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["skipped", *texts])], ["k", "t"]).slice(1)
+    got = [tuple(r.values()) for b in terms.count_batches(iter([batch]), words, [[i, 10 + i] for i in range(len(words))]) for r in b.to_pylist()]
+    want = [(k, j, n) for k, t in enumerate(texts, 1) for i, w in enumerate(words) if (n := len(re.findall(f"(?={w})", t))) for j in (i, 10 + i)]
+    assert sorted(got) == sorted(want)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from weft.functions.text import WORD_CHAR, context, fold, fold_literal, quoted
+from weft.operators.terms import count_batches
 
 
 def find_matches(pages: DataFrame, query: str, case_sensitive: bool = False, whole_word: bool = False, page_start: int = -1, page_end: int = -1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,27 +75,25 @@ def count_occurrences(pages: DataFrame, query: str, key: str = "doc_id", text: s
     return pages.where(body.contains(term)).select(key, n.alias("n"))
 
 
-def dictionary_search(pages: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", most_terms: int = 64) -> DataFrame:
+def dictionary_search(pages: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term_id, n) for each term that a page holds.
 
-    Equal terms are looked for once.  Terms become literals of a scan, ``most_terms`` of them at most: more terms are
-    more scans.  A page is folded once, and a term is counted only where the page contains it.
+    Equal terms are looked for once.  Pages are read and folded once, whatever the number of terms, and their bytes are
+    walked through a tree of all terms in Arrow batches.
     """
     spelt: dict[str, list] = {}
-    for r in terms.select("term_id", "term").orderBy("term_id").toLocalIterator():
+    for r in terms.where("term is not null").select(F.col("term_id").cast("bigint"), "term").orderBy("term_id").toLocalIterator():
         spelt.setdefault(fold_literal(r["term"]), []).append(r["term_id"])
-    listed = list(spelt)
+    if "" in spelt:
+        raise ValueError("empty term")
+    listed, ids = list(spelt), list(spelt.values())
+
+    def count(batches):
+        return count_batches(batches, listed, ids)
+
     folded = pages.where(F.col(text).isNotNull()).select(key, fold(F.col(text)).alias("_body"))
-    body = F.col("_body")
-    out = None
-    for lo in range(0, max(1, len(listed)), most_terms):
-        some = listed[lo : lo + most_terms]
-        count = lambda t: F.size(F.split(body, f"(?={quoted(t)})", -1)) - 1 + F.when(F.startswith(body, F.lit(t)), 1).otherwise(0)
-        literals = [F.when(body.contains(t), F.struct(F.array(*[F.lit(i).cast("bigint") for i in spelt[t]]).alias("ids"), count(t).alias("n"))) for t in some]
-        found = F.array_compact(F.array(*literals)) if literals else F.array().cast("array<struct<ids:array<bigint>,n:int>>")
-        part = folded.select(key, F.explode(found).alias("f")).select(key, F.explode("f.ids").alias("term_id"), F.col("f.n").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    fields = [folded.schema[key], StructField("term_id", LongType()), StructField("n", IntegerType())]
+    return folded.mapInArrow(count, StructType(fields))
 
 
 # --- items of a page and geometry ---
